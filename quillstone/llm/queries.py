@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid
+from . import chat, decontaminate, langid, media, mixing
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language": langid.op2_language,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_chat": chat.op6_chat,
+    "op7_media": media.op7_media,
 }
 
-ORACLE_SQL = decontaminate.ORACLE_SQL
+ORACLE_SQL = decontaminate.ORACLE_SQL | mixing.ORACLE_SQL | chat.ORACLE_SQL
