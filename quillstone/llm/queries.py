@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, media, mixing
+from . import chat, decontaminate, langid, media, mixing, pii, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language": langid.op2_language,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_pii": pii.op4_pii,
     "op5_mixing": mixing.op5_mixing,
     "op6_chat": chat.op6_chat,
     "op7_media": media.op7_media,
