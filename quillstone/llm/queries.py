@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, media, mixing, pii, toxicity
+from . import chat, decontaminate, langid, licences, media, mixing, pii, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_chat": chat.op6_chat,
     "op7_media": media.op7_media,
+    "op8_licences": licences.op8_licences,
 }
 
-ORACLE_SQL = decontaminate.ORACLE_SQL | mixing.ORACLE_SQL | chat.ORACLE_SQL
+ORACLE_SQL = decontaminate.ORACLE_SQL | mixing.ORACLE_SQL | chat.ORACLE_SQL | licences.ORACLE_SQL
