@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, licences, media, mixing, pii, toxicity
+from . import chat, decontaminate, jaccard_join, langid, licences, media, mixing, pii, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_chat": chat.op6_chat,
     "op7_media": media.op7_media,
     "op8_licences": licences.op8_licences,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLE_SQL = decontaminate.ORACLE_SQL | mixing.ORACLE_SQL | chat.ORACLE_SQL | licences.ORACLE_SQL
