@@ -31,7 +31,7 @@ SLOTS, PIECE, LANGUAGES = 64, 512, 64
 #: Bytes compressed at a time; shorter texts than REPEAT bytes are repeated up to it.
 CHUNK, REPEAT = 32768, 160
 #: A text is rejected if the second best total is less than this share above the best.
-MARGIN = 0.01
+MARGIN = 0.005
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
