@@ -1 +1,2 @@
 """Query plans over the star schema; importing this package registers them."""
+from . import basic, joins, windows  # noqa: F401
