@@ -1,2 +1,2 @@
 """Query plans over the star schema; importing this package registers them."""
-from . import analytics, basic, joins, windows  # noqa: F401
+from . import analytics, basic, joins, search, windows  # noqa: F401
