@@ -33,6 +33,8 @@ LENGTH, GRAM = 100, 32
 HOT = 20_000
 #: Bytes of one BWT.
 TEXT_BYTES = 1 << 20
+#: Bytes of documents cut into segments at a time; temporary arrays take some 150 bytes for each.
+SLICE = 1 << 20
 #: Up to so many document ids (8 bytes each) are broadcast to pick texts; beyond that a join is used.
 BROADCAST_IDS = 1_000_000
 
@@ -176,7 +178,7 @@ def _segment_rows(length: int, gram: int):
         for batch in batches:
             ids = C.column(batch, "doc_id").to_numpy(zero_copy_only=False)
             data, offsets = C.text_buffers(C.column(batch, "text"))
-            for x, y in C.slices(offsets):
+            for x, y in C.slices(offsets, SLICE):
                 text, anchor, seg, a, n = segments_of(*C.sub(offsets, data, x, y), length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[x:y][text]), pa.array(anchor), pa.array(seg), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "anchor", "seg", "a", "n"])
 
