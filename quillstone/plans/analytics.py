@@ -145,8 +145,8 @@ plan(
 )
 plan(
     "json_group",
-    lambda t: t.events.groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")),
-    "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1",
+    lambda t: t.events.groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")),
+    "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1",
 )
 plan(
     "json_project",
