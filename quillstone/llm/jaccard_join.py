@@ -4,9 +4,10 @@ Two documents link if 100 * shared shingles >= `percent` * all their shingles; t
 
 1. Equal sets collapse by a 64-bit sum of scrambled hashes (chance of any false match: documents squared / 2^65).
 2. Sets that may link are brought together without losing a pair: sets of about one size are cut by a hash of the
-   shingles into more parts than two linked sets can differ in shingles, so some part is equal in both (parts that are
-   empty in both are allowed for). Each set is joined to the first set of each of its parts; the connected components of
-   these candidates hold all links, and each component's sets travel once, to one task.
+   shingles into more parts than two linked sets can differ in shingles, by 1 + `spare`: so many parts are equal in both.
+   Each set drops the `spare` of its shared parts that most sets have; the rarest part that two linked sets share is
+   dropped by neither, and a set with too few shared parts has no link at all. Each set is joined to the first set of
+   each part left; the connected components of these candidates hold all links.
 3. There the sets are the leaves of a signature tree, whose nodes hold OR-combined bitmaps of shingles, ranges of sizes and
    the most shingles hidden by shared bits. A dual traversal drops pairs of nodes whose largest possible overlap is too
    small, and what is connected already; pairs of leaves left are compared exactly.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -82,7 +83,7 @@ class Classes:
             self.edges.append(self.edges[-1] * 3 // 2 + 1)
         for top in self.edges[1:]:
             most = 2 * (top - 1) * (100 - percent) // (100 + percent)  # shingles that only one of two linked sets has
-            self.spare.append(2 + most // 16)
+            self.spare.append(2 + most // 8)
             self.parts.append(most + 1 + self.spare[-1])
 
     def labels(self, n: np.ndarray):
@@ -96,11 +97,14 @@ class Classes:
 
 
 def part_keys(h: np.ndarray, bounds: np.ndarray, percent: int):
-    """(set, key) of all parts that two linked sets may share."""
+    """Of all parts that are not empty: (index of the set's label, key); of all labels, by set: (set, need): a link shares at
+    least `need` of these keys. A label whose set has more empty parts than the spare ones has a key for them too."""
     n = np.diff(bounds)
     classes = Classes(percent, int(n.max(initial=0)) * 2)
     sets, labels = classes.labels(n)
-    m = np.array(classes.parts, np.int64)[labels]
+    order = np.argsort(sets, kind="stable")
+    sets, labels = sets[order], labels[order]
+    m, spare = np.array(classes.parts, np.int64)[labels], np.array(classes.spare, np.int64)[labels]
     base = np.cumsum(m) - m
     size = n[sets]
     pair = np.repeat(np.arange(len(sets)), size)
@@ -112,25 +116,34 @@ def part_keys(h: np.ndarray, bounds: np.ndarray, percent: int):
     filled = np.bincount(slot, minlength=len(total)) > 0
     owner = np.repeat(np.arange(len(sets)), m)
     empty = np.bincount(owner[~filled], minlength=len(sets))
-    used = filled | (empty > np.array(classes.spare, np.int64)[labels])[owner] if len(sets) else filled
-    number = np.arange(len(total)) - base[owner] if len(sets) else owner
+    used = filled | (empty > spare)[owner]
+    number = np.arange(len(total)) - base[owner]
     where = labels[owner].astype(np.uint64) * _C + number.astype(np.uint64)
     key = C.mix(total + C.mix(where))
-    return sets[owner[used]], key[used]
+    return owner[used], key[used], sets, 1 + spare - np.where(empty > spare, 0, empty)
 
 
-def _described(percent: int, words: int):
+def _described(words: int):
     def run(batches):
         for batch in batches:
             ids = C.column(batch, "doc_id")
             for x, y, h, _, bounds in shingles(C.column(batch, "text"), words):
                 n = np.diff(bounds)
-                sets, keys = part_keys(h, bounds, percent)
-                order = np.argsort(sets, kind="stable")
-                sets, keys = sets[order], keys[order]
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(sets, np.arange(y - x + 1)).astype(np.int32)), pa.array(keys.view(np.int64)))
-                node = pa.array(_node(h, bounds).view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x), pa.array(n.astype(np.int64)), node, lists], names=["doc_id", "n", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x), pa.array(n.astype(np.int64)), pa.array(_node(h, bounds).view(np.int64), mask=n == 0)], names=["doc_id", "n", "node"])
+
+    return run
+
+
+def _parts(percent: int, words: int):
+    def run(batches):
+        for batch in batches:
+            ids = C.column(batch, "doc_id")
+            for x, y, h, _, bounds in shingles(C.column(batch, "text"), words):
+                label, keys, sets, need = part_keys(h, bounds, percent)
+                per_label = pa.ListArray.from_arrays(pa.array(np.searchsorted(label, np.arange(len(sets) + 1)).astype(np.int32)), pa.array(keys.view(np.int64)))
+                groups = pa.StructArray.from_arrays([pa.array(need.astype(np.int32)), per_label], names=["need", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(sets, np.arange(y - x + 1)).astype(np.int32)), groups)
+                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x), lists], names=["doc_id", "labels"])
 
     return run
 
@@ -290,15 +303,24 @@ def components(edges: DataFrame) -> DataFrame:
 def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = C.persisted(docs.mapInArrow(_described(percent, words), "doc_id long, n long, node long, keys array<long>"), "jaccard-parts")
-    parts = described.select("node", F.explode("keys").alias("key"))
-    shared = parts.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).filter("m <> x").select("key", "m")
-    candidates = components(parts.join(shared, "key").filter("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")))
-    members = candidates.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(candidates.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    described = C.persisted(docs.mapInArrow(_described(words), "doc_id long, n long, node long"), "jaccard-nodes")
+    own = C.persisted(described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "jaccard-first")
+    # The first document with a set speaks for all; its id, unlike the set's hash, takes few bytes in a shuffle. Keys are
+    # computed twice rather than kept: first only counted, then joined with those that occur again.
+    firsts = own.select(F.col("first").alias("doc_id")).filter("doc_id is not null").distinct()
+    speakers = docs.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts, "doc_id", "left_semi")
+    labels = speakers.mapInArrow(_parts(percent, words), "doc_id long, labels array<struct<need:int,keys:array<long>>>")
+    parts = labels.select("doc_id", F.posexplode("labels").alias("label", "x")).select("doc_id", "label", "x.need", F.explode("x.keys").alias("key"))
+    shared = parts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    by_rarity = Window.partitionBy("doc_id", "label").orderBy(F.desc("c"), "key")  # a set's parts at most
+    rare = parts.join(shared, "key").withColumn("r", F.row_number().over(by_rarity)).filter("r >= need")
+    rare = C.persisted(rare.select("key", "doc_id"), "jaccard-rare")
+    centres = rare.groupBy("key").agg(F.min("doc_id").alias("m"))
+    candidates = components(rare.join(centres, "key").filter("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")))
+    members = candidates.select(F.col("a").alias("first"), F.col("b").alias("comp")).unionAll(candidates.select(F.col("b").alias("first"), F.col("b").alias("comp")).distinct())
     sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     # A null id can't be looked up: such a set's text is found through a row that has one, or stays alone.
-    dealt = members.join(sizes, "comp").join(own.filter("first is not null"), "node")
+    dealt = members.join(sizes, "comp").join(own, "first")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = C.persisted(dealt.select("node", "comp", "first", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "blocks"), "jaccard-dealt")
