@@ -5,9 +5,11 @@ Two documents link if 100 * shared shingles >= `percent` * all their shingles; t
 1. Equal sets collapse by a 64-bit sum of scrambled hashes (chance of any false match: documents squared / 2^65).
 2. Sets that may link are brought together without losing a pair: sets of about one size are cut by a hash of the
    shingles into more parts than two linked sets can differ in shingles, by 1 + `spare`: so many parts are equal in both.
-   Each set drops the `spare` of its shared parts that most sets have; the rarest part that two linked sets share is
-   dropped by neither, and a set with too few shared parts has no link at all. Each set is joined to the first set of
-   each part left; the connected components of these candidates hold all links.
+   A set with at most `spare` empty parts drops, of its shared parts, as many as it has fewer empty ones than that, those
+   that most sets have; the rarest part that two linked sets share is never dropped, and a set with too few shared parts
+   has no link at all. Other sets have keys for their empty parts too, which only such sets share, and drop none: a linked
+   set without such keys may share but one part with them. Each set is joined to the first set of each part left; the
+   connected components of these candidates hold all links.
 3. There the sets are the leaves of a signature tree, whose nodes hold OR-combined bitmaps of shingles, ranges of sizes and
    the most shingles hidden by shared bits. A dual traversal drops pairs of nodes whose largest possible overlap is too
    small, and what is connected already; pairs of leaves left are compared exactly.
@@ -98,7 +100,8 @@ class Classes:
 
 def part_keys(h: np.ndarray, bounds: np.ndarray, percent: int):
     """Of all parts that are not empty: (index of the set's label, key); of all labels, by set: (set, need): a link shares at
-    least `need` of these keys. A label whose set has more empty parts than the spare ones has a key for them too."""
+    least `need` of these keys. A label whose set has more empty parts than the spare ones has a key for them too; it may be
+    linked to a set that has none for its up to `spare` empty ones, so only one shared key is certain."""
     n = np.diff(bounds)
     classes = Classes(percent, int(n.max(initial=0)) * 2)
     sets, labels = classes.labels(n)
@@ -120,7 +123,7 @@ def part_keys(h: np.ndarray, bounds: np.ndarray, percent: int):
     number = np.arange(len(total)) - base[owner]
     where = labels[owner].astype(np.uint64) * _C + number.astype(np.uint64)
     key = C.mix(total + C.mix(where))
-    return owner[used], key[used], sets, 1 + spare - np.where(empty > spare, 0, empty)
+    return owner[used], key[used], sets, 1 + spare - np.minimum(empty, spare)
 
 
 def _described(words: int):

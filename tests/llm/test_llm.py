@@ -262,6 +262,34 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.representatives(odd(spark)).columns == odd(spark).columns
 
 
+@pytest.mark.parametrize("hot", [0, 12])
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_small_sets_keep_a_common_part(percent, hot):
+    """Sets of 4-13 shingles, alone and in hot groups: all linked pairs share a key that neither drops."""
+    links = 0
+    for seed in range(25):
+        rng, family = np.random.default_rng(seed), {}
+        for f in range(40):
+            base = rng.integers(0, 2**63, rng.integers(4, 14)).tolist()
+            for _ in range(4 + hot):
+                own = base[rng.integers(2) :] + rng.integers(0, 2**63, rng.integers(2)).tolist()
+                family[tuple(sorted(own))] = f
+        sets, family = [np.array(x, np.uint64) for x in family], list(family.values())
+        owner, keys, of, need = jaccard_join.part_keys(np.concatenate(sets), np.cumsum([0, *(len(x) for x in sets)]), percent)
+        _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+        kept = [set() for _ in sets]
+        for label, s in enumerate(of):
+            mine = which[owner == label]
+            mine = mine[count[mine] > 1]
+            kept[s] |= set(mine[np.lexsort((mine, -count[mine]))][need[label] - 1 :].tolist())
+        for i in range(len(sets)):
+            for j in range(i):
+                if family[i] == family[j] and jaccard_join.linked(sets[i], sets[j], percent):
+                    links += 1
+                    assert kept[i] & kept[j]
+    assert links > 500
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (95, 100), (7, 7)], "a long, b long")
     got = {r.a: r.b for r in jaccard_join.components(edges).collect()}
