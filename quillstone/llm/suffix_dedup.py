@@ -15,7 +15,9 @@ An anchor with over HOT different segments (a common line after ever new text) w
 strings are collapsed one by one by two 64-bit hashes instead, combined before the shuffle, which is exact for any number.
 
 Defined results: a null text is an empty one; texts shorter than `length` are kept whole; a null id comes last; rows with
-one id are one document for the order (repeated rows get equal results); other columns are ignored.
+one id and text are one document (repeated rows get equal results); different texts of one id, or without an id, are
+documents of their own, in the order of a 64-bit hash of the text, `variant`, which is 0 where an id occurs once; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ SLICE = 1 << 20
 #: Up to so many document ids (8 bytes each) are broadcast to pick texts; beyond that a join is used.
 BROADCAST_IDS = 1_000_000
 
-_SEGMENTS = "doc_id long, anchor long, seg long, a int, n int"
-_RUNS = "doc_id long, a int, n int"
+_SEGMENTS = "doc_id long, variant long, anchor long, seg long, a int, n int"
+_RUNS = "doc_id long, variant long, a int, n int"
+_DOC = ["doc_id", "variant"]
 
 
 def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -145,8 +148,8 @@ def boundaries(codes: np.ndarray, order: np.ndarray, n_symbols: int, length: int
     return fixed[:n]
 
 
-def repeats(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int):
-    """(segment, offset, count) of runs of strings that also occur earlier, by (doc, start), in these segments."""
+def repeats(segments: list[bytes], docs: np.ndarray, variants: np.ndarray, starts: np.ndarray, length: int):
+    """(segment, offset, count) of runs of strings that also occur earlier, by (doc, variant, start), in these segments."""
     sizes = np.array([len(s) for s in segments])
     raw = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     ends = np.cumsum(sizes + 1) - 1
@@ -160,7 +163,7 @@ def repeats(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, length:
     whole = offset + length <= sizes[owner]
     classes = np.cumsum(fixed)[whole[order]]
     at = order[whole[order]]
-    sort = np.lexsort((starts[owner[at]] + offset[at], docs[owner[at]], classes))
+    sort = np.lexsort((starts[owner[at]] + offset[at], variants[owner[at]], docs[owner[at]], classes))
     classes, at = classes[sort], at[sort]
     later = np.zeros(len(at), bool)
     later[1:] = classes[1:] == classes[:-1]
@@ -176,11 +179,11 @@ def repeats(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, length:
 def _segment_rows(length: int, gram: int):
     def run(batches):
         for batch in batches:
-            ids = C.column(batch, "doc_id").to_numpy(zero_copy_only=False)
+            ids, variants = (C.column(batch, c).to_numpy(zero_copy_only=False) for c in _DOC)
             data, offsets = C.text_buffers(C.column(batch, "text"))
             for x, y in C.slices(offsets, SLICE):
                 text, anchor, seg, a, n = segments_of(*C.sub(offsets, data, x, y), length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x:y][text]), pa.array(anchor), pa.array(seg), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "anchor", "seg", "a", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x:y][text]), pa.array(variants[x:y][text]), pa.array(anchor), pa.array(seg), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=[*_DOC, "anchor", "seg", "a", "n"])
 
     return run
 
@@ -191,10 +194,10 @@ def _expanded(length: int):
 
         def flush(rows):
             segments = [r["bytes"] for r in rows]
-            docs = np.array([r["doc_id"] for r in rows])
+            docs, variants = (np.array([r[c] for r in rows]) for c in _DOC)
             starts = np.array([r["a"] for r in rows])
-            found = repeats(segments, docs, starts, length)
-            return pa.RecordBatch.from_arrays([pa.array([int(docs[s]) for s, _, _ in found], pa.int64()), pa.array([int(starts[s]) + o for s, o, _ in found], pa.int32()), pa.array([c for _, _, c in found], pa.int32())], names=["doc_id", "a", "n"])
+            found = repeats(segments, docs, variants, starts, length)
+            return pa.RecordBatch.from_arrays([*(pa.array([int(x[s]) for s, _, _ in found], pa.int64()) for x in (docs, variants)), pa.array([int(starts[s]) + o for s, o, _ in found], pa.int32()), pa.array([c for _, _, c in found], pa.int32())], names=[*_DOC, "a", "n"])
 
         size = 0
         for batch in batches:
@@ -226,38 +229,48 @@ def _strings(length: int):
             start = offsets[owner] + inner
             one = C.span_hash(C.prefix_hash(data), start, start + length)
             two = C.span_hash(C.prefix_hash(data ^ np.uint8(0x5A)), start, start + length)
-            ids, a = np.array([r["doc_id"] for r in rows]), np.array([r["a"] for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((a[owner] + inner).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "a", "h1", "h2"])
+            ids, variants, a = (np.array([r[c] for r in rows]) for c in (*_DOC, "a"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(variants[owner]), pa.array((a[owner] + inner).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=[*_DOC, "a", "h1", "h2"])
 
     return run
 
 
 def _picked(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents with these ids, and the others; few ids are broadcast, so that only picked texts are shuffled later."""
-    ids = ids.select("doc_id").distinct()
+    ids = ids.select(*_DOC).distinct()
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, "doc_id", "left_semi"), docs.join(side, "doc_id", "left_anti")
+    return docs.join(side, _DOC, "left_semi"), docs.join(side, _DOC, "left_anti")
+
+
+def _with_variant(docs: DataFrame) -> DataFrame:
+    """docs with `variant`: a hash of the text where the id occurs more than once, otherwise 0."""
+    again = C.persisted(docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id", F.lit(True).alias("again")), "suffix-ids")
+    n = again.count()
+    if not n:
+        return docs.withColumn("variant", F.lit(0).cast("long"))
+    return docs.join(F.broadcast(again) if n <= BROADCAST_IDS else again, "doc_id", "left").select("doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("variant"))
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs: (doc_id long, never null; text). Runs of starts (doc_id, a, n) of strings that also start earlier."""
+    """docs: (doc_id long, variant long, neither ever null, together one text's; text). Runs of starts (doc_id, variant, a, n)
+    of strings that also start earlier."""
     segments = docs.mapInArrow(_segment_rows(length, gram), _SEGMENTS)
     anchors = segments.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     rows = C.persisted(segments.join(anchors, "anchor", "left_semi"), "suffix-rows")
-    first = C.persisted(rows.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max("n").alias("n"), F.count("*").alias("c")), "suffix-first")
-    again = first.filter("c > 1").select("anchor", "seg", F.col("f.doc_id").alias("d"), F.col("f.a").alias("b"))
-    copies = rows.join(again, ["anchor", "seg"]).filter("doc_id <> d or a <> b").select("doc_id", "a", "n")
+    first = C.persisted(rows.groupBy("anchor", "seg").agg(F.min(F.struct(*_DOC, "a")).alias("f"), F.max("n").alias("n"), F.count("*").alias("c")), "suffix-first")
+    again = first.filter("c > 1").select("anchor", "seg", F.col("f.doc_id").alias("d"), F.col("f.variant").alias("v"), F.col("f.a").alias("b"))
+    copies = rows.join(again, ["anchor", "seg"]).filter("doc_id <> d or variant <> v or a <> b").select(*_DOC, "a", "n")
     differing = first.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
-    wanted = first.join(differing, "anchor").select("anchor", "seg", "k", F.col("f.doc_id").alias("doc_id"), F.col("f.a").alias("a"), "n")
+    wanted = first.join(differing, "anchor").select("anchor", "seg", "k", F.col("f.doc_id").alias("doc_id"), F.col("f.variant").alias("variant"), F.col("f.a").alias("a"), "n")
     texts, _ = _picked(docs, wanted)
     body = F.substring(F.col("text").cast("binary"), F.col("a") + 1, F.col("n") + (length - 1))
-    wanted = C.persisted(wanted.join(texts, "doc_id").select("anchor", "seg", "k", "doc_id", "a", body.alias("bytes")), "suffix-bytes")
-    columns = ("anchor", "seg", "doc_id", "a", "bytes")
+    wanted = C.persisted(wanted.join(texts, _DOC).select("anchor", "seg", "k", *_DOC, "a", body.alias("bytes")), "suffix-bytes")
+    columns = ("anchor", "seg", *_DOC, "a", "bytes")
     differ = wanted.filter(F.col("k") <= hot).select(*columns).repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_expanded(length), _RUNS)
     many = wanted.filter(F.col("k") > hot).select(*columns)
-    strings = many.mapInArrow(_strings(length), "doc_id long, a int, h1 long, h2 long")
-    earliest = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "a")).alias("f"))
-    late = strings.join(earliest, ["h1", "h2"]).filter("doc_id <> f.doc_id or a <> f.a").select("doc_id", "a", F.lit(1).alias("n"))
+    strings = many.mapInArrow(_strings(length), "doc_id long, variant long, a int, h1 long, h2 long")
+    earliest = strings.groupBy("h1", "h2").agg(F.min(F.struct(*_DOC, "a")).alias("f"))
+    late = strings.join(earliest, ["h1", "h2"]).filter("doc_id <> f.doc_id or variant <> f.variant or a <> f.a").select(*_DOC, "a", F.lit(1).alias("n"))
     return copies.unionAll(differ).unionAll(late)
 
 
@@ -265,9 +278,10 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes)."""
     last = F.lit(2**63 - 1)
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = _with_variant(docs)
     runs = C.persisted(repeated_runs(docs, length, gram, hot), "suffix-runs")
     cut, whole = _picked(docs, runs)
-    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n")).alias("runs"))  # bounded by the document
+    by_doc = runs.groupBy(*_DOC).agg(F.collect_list(F.struct("a", "n")).alias("runs"))  # bounded by the document
 
     def removed(batches):
         for batch in batches:
@@ -286,7 +300,7 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([C.column(batch, "doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    cut = cut.join(by_doc, "doc_id").mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = cut.join(by_doc, _DOC).select("doc_id", "text", "runs").mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")
     whole = whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return cut.unionAll(whole).withColumn("doc_id", F.nullif("doc_id", last))

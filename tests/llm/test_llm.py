@@ -219,6 +219,23 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.deduplicated(odd(spark, [])).count() == 0
 
 
+def test_suffix_dedup_texts_without_own_id(spark):
+    """Different texts of one id or of none, of several lengths, and a repeated row."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    new = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    rows = [(1, new(150) + base[:250]), (None, new(700) + base[100:400] + new(40)), (None, new(130)), (None, base[200:340]), (None, new(20) + base[150:700]), (None, None), (7, base[500:900]), (7, new(120)), (7, new(60) + base[450:650]), (None, new(500) + base[:130])]
+    rows.append(rows[4])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r.text for r in df.distinct().orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    want = suffix_dedup.brute_force(list(enumerate(order)))
+    ids = dict((t, d) for d, t in rows)
+    want = sorted([(ids[order[i]], *w) for i, w in want.items()] + [(None, *want[order.index(rows[4][1])])], key=repr)
+    for hot in (suffix_dedup.HOT, 1):
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.deduplicated(df, hot=hot).collect()]
+        assert sorted(got, key=repr) == want
+
+
 def test_boundaries_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(20):
