@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexicon transducer maps words to classes: insult, threat, target, negation, reported speech, other. Four small
-transducers over classes (negation near an insult or threat, reported speech before it, a target before it, and the weight
-that remains) are composed into one, which walks every clause; a clause is what lies between full stops, marks, line ends
-and the like. A document's score joins its matched clauses, not isolated words: a threat counts only towards a target, a
-denied or reported insult counts less, an addressed one more.
+transducers over classes (negation near an insult or threat, reported speech before it, a target before or after it, and
+the weight that remains) are composed into one, which walks every clause; a clause is what lies between full stops, marks,
+line ends and the like. A document's score joins its matched clauses, not isolated words: a threat counts only towards a
+target, a denied or reported insult counts less, an addressed one more. What a target would add to earlier words is held
+open until one follows in the clause.
 
 The lexicon has a few words per language as fixed values, and insults learned from labelled rows: words, and beginnings of
 words, that occur in far more toxic documents than others. Learning uses at most about SAMPLE labelled documents, spread by
@@ -39,6 +40,8 @@ TARGETS = "you your u he she him her they them du dich dir ihr euch tu toi vous
 NEGATIONS = "not never no isn't nicht kein keine nie pas jamais aucun ningún nunca".split()
 REPORTS = "said says quoted quote called reported alleged sagte sagt zitierte angeblich dit disait déclaré dijo dice".split()
 SEED_WEIGHT = 3.0
+#: Factor of an insult with a target in its clause.
+ADDRESSED = 1.25
 
 _CLAUSE = np.zeros(256, bool)
 _CLAUSE[[ord(c) for c in ".!?;:\n\r|"]] = True
@@ -104,15 +107,18 @@ def _report(state, symbol):
 
 
 def _target(state, symbol):
+    """Puts out m for what has its target, h for an open threat, i for an open insult, a for the target of open ones."""
     if symbol == "g":
-        return "o", 1.0, 1
+        return ("o" if state else "a"), 1.0, 1
     if symbol == "t":
-        return ("m" if state else "o"), 1.0, state
-    return symbol, 1.25 if state and symbol == "i" else 1.0, state
+        return ("m" if state else "h"), 1.0, state
+    if state and symbol == "i":
+        return "m", ADDRESSED, state
+    return symbol, 1.0, state
 
 
 def _matched(state, symbol):
-    return symbol, 1.0 if symbol in "im" else 0.0, state
+    return symbol, 1.0 if symbol in "imh" else 0.0, state
 
 
 GRAMMAR = Transducer(_negation) @ Transducer(_report) @ Transducer(_target) @ Transducer(_matched)
@@ -120,15 +126,21 @@ GRAMMAR = Transducer(_negation) @ Transducer(_report) @ Transducer(_target) @ Tr
 
 def clause_weight(events: list[tuple[int, str, float]], memo: dict) -> float:
     """events: (word's place, class, weight) of one clause, in order; other words lie between."""
-    state, total, last = 0, 0.0, None
+    state, total, open_, last = 0, 0.0, 0.0, None
     for place, symbol, weight in events:
         for s in "o" * min(REACH + 1, place - last - 1 if last is not None else 0) + symbol:
             found = memo.get((state, s))
             if found is None:
                 found = memo[state, s] = GRAMMAR.step(state, s)
-            _, factor, state = found
+            out, factor, state = found
             if s == symbol:
-                total += weight * factor
+                if out == "a":
+                    total, open_ = total + open_, 0.0
+                elif out == "h":
+                    open_ += weight * factor
+                else:
+                    total += weight * factor
+                    open_ += weight * factor * (ADDRESSED - 1) if out == "i" else 0.0
         last = place
     return total
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,18 @@ def test_toxicity_grammar():
     assert w((3, "t", 3.0)) == 0 and w((0, "g", 0.0), (3, "t", 3.0)) == 3
 
 
+def test_toxicity_target_follows():
+    w = lambda *e: toxicity.clause_weight(list(e), {})
+    threat, insult, target = (3, "t", 3.0), (3, "i", 3.0), (0.0,)
+    before, after = (0, "g", *target), (5, "g", *target)
+    assert w(threat, after) == w(before, threat) == w(before, threat, after) == 3
+    assert w(insult, after) == w(before, insult) == w(before, insult, after) == 3.75
+    assert w((2, "n", 0.0), threat, after) == w(before, (2, "n", 0.0), threat) < 3
+    assert w(threat, (4, "t", 3.0), after, (6, "g", 0.0)) == 6 and w(threat) == 0
+    texts = pa.array(["they should shoot them all", "I will kill you", "I kill. You", "shoot the film"])
+    assert [n for _, n, _, _ in toxicity.Lexicon([]).scored(texts)] == [1, 1, 0, 0]
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     for known in (labels, labels.limit(0)):
