@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: An odd base of the polynomial hash modulo 2^64 and its inverse.
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset (tests, one machine) a temporary one."""
+    """The folder that spark.checkpoint.dir names; only where it is unset on one machine (local master) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,6 +42,15 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many 64-bit keys (with little beside them) are broadcast; beyond that a join is left to Spark.
+BROADCAST_KEYS = 1_000_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """keys, counted first and marked for broadcast if they are few; read twice, so they should be persisted."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """By name; the operators select their inputs first, so a name is unique."""
     return batch.column(batch.schema.get_field_index(name))
@@ -57,7 +69,7 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first:last], offsets.astype(np.int64) - first
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Row ranges of at most `most` bytes, a longer text alone, so that temporary arrays stay small."""
     n, at = len(offsets) - 1, 0
     while at < n:
@@ -67,13 +79,15 @@ def slices(offsets: np.ndarray, most: int = 4 << 20):
         at = to
 
 
+#: Bytes hashed at a time, so that tables of powers and prefix sums stay as small for a text of any length.
+CHUNK = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2^64 for i up to n."""
     if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, CHUNK + 8)
         for key, base in (("up", BASE), ("down", INVERSE)):
             a = np.full(size, U64(base), U64)
             a[0] = 1
@@ -105,6 +119,24 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((h[ends] - h[starts]) * down[starts])
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hash of words that follow each other, CHUNK bytes at a time; a longer word piece by piece."""
+    out, at = np.empty(len(starts), U64), 0
+    while at < len(starts):
+        first = starts[at]
+        to = int(np.searchsorted(ends, first + CHUNK, "right"))
+        if to > at:
+            h = prefix_hash(data[first : ends[to - 1]])
+            out[at:to] = span_hash(h, starts[at:to] - first, ends[at:to] - first)
+        else:
+            to, total = at + 1, 0
+            for x in range(first, ends[at], CHUNK):
+                total += int(prefix_hash(data[x : min(x + CHUNK, ends[at])])[-1]) * pow(BASE, x - first, 2**64)
+            out[at] = mix(np.array([total % 2**64], U64))[0]
+        at = to
+    return out
+
+
 def lower_table() -> np.ndarray:
     """Byte to byte, A-Z to a-z only."""
     t = np.arange(256, dtype=np.uint8)

@@ -2,23 +2,28 @@
 
 Two documents link if 100 * shared shingles >= `percent` * all their shingles; the result has each document's component.
 
-1. Equal sets collapse by a 64-bit sum of scrambled hashes (chance of any false match: documents squared / 2^65).
+1. Equal sets collapse by a 64-bit sum of scrambled hashes (chance of any false match: documents squared / 2^65). One text
+   speaks for all that have its set.
 2. Sets that may link are brought together without losing a pair: sets of about one size are cut by a hash of the
    shingles into more parts than two linked sets can differ in shingles, by 1 + `spare`: so many parts are equal in both.
    A set with at most `spare` empty parts drops, of its shared parts, as many as it has fewer empty ones than that, those
    that most sets have; the rarest part that two linked sets share is never dropped, and a set with too few shared parts
    has no link at all. Other sets have keys for their empty parts too, which only such sets share, and drop none: a linked
-   set without such keys may share but one part with them. Each set is joined to the first set of each part left; the
-   connected components of these candidates hold all links.
-3. There the sets are the leaves of a signature tree, whose nodes hold OR-combined bitmaps of shingles, ranges of sizes and
-   the most shingles hidden by shared bits. A dual traversal drops pairs of nodes whose largest possible overlap is too
-   small, and what is connected already; pairs of leaves left are compared exactly.
-4. A candidate component of more than BLOCK sets is dealt out as pairs of blocks, each a task of its own, and the links
-   found are connected again; so no component is too large for a task.
+   set without such keys may share but one part with them. Sets with a key in common are candidates.
+3. The sets of a connected component of candidates are the leaves of a signature tree, whose nodes hold OR-combined bitmaps
+   of shingles, ranges of sizes and the most shingles hidden by shared bits. A dual traversal drops pairs of nodes whose
+   largest possible overlap is too small, and pairs that are connected already; pairs of leaves left are compared exactly.
+4. A component of more than a block (BLOCK sets or SHINGLES shingles) is joined in two rounds. First every set meets, in
+   blocks, the first set of its rarest key; near copies settle there. Then only keys whose sets are not yet connected
+   count: the sets outside the largest group of such a component, in blocks, meet all of it, in blocks. So a group of
+   near copies costs about its size, and what remains costs (sets not settled) x (sets) / block rows.
+
+Texts are shingled anew in each step rather than kept, since a set takes more room than its text.
 
 Defined results: null and blank texts have no shingles and are alone; a text of one or two words has one shingle; equal
-sets of any size link; rows with a null id take part and are never a component's id unless alone (then it is null);
-repeated rows get equal results; other columns are ignored.
+sets of any size link; rows with a null id take part and are never a component's id (which is null where all of its rows
+have none); different texts of one id are documents of their own that bear the same id; repeated rows get equal results;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +36,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WORDS, PERCENT = 3, 90
-#: Sets of a tree's block; shingles gathered before a tree is built; children of a node.
-BLOCK, GATHER, FANOUT = 4096, 2_000_000, 8
-BROADCAST_IDS = 1_000_000
+#: Sets and shingles of a block; shingles gathered before a tree is built; children of a node.
+BLOCK, SHINGLES, GATHER, FANOUT = 1024, 2_000_000, 2_000_000, 8
 
 _A, _B, _C = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -45,7 +49,7 @@ def shingles(texts: pa.Array, words: int = WORDS):
         part, off = C.sub(offsets, data, x, y)
         low = C.lower_table()[part]
         starts, ends, first = C.words(low, off, C.UNSPACED)
-        w = C.span_hash(C.prefix_hash(low), starts, ends)
+        w = C.word_hashes(low, starts, ends)
         counts = np.diff(first)
         n = np.where(counts >= words, counts - words + 1, (counts > 0).astype(np.int64))
         row = np.repeat(np.arange(y - x), n)
@@ -129,10 +133,10 @@ def part_keys(h: np.ndarray, bounds: np.ndarray, percent: int):
 def _described(words: int):
     def run(batches):
         for batch in batches:
-            ids = C.column(batch, "doc_id")
             for x, y, h, _, bounds in shingles(C.column(batch, "text"), words):
                 n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x), pa.array(n.astype(np.int64)), pa.array(_node(h, bounds).view(np.int64), mask=n == 0)], names=["doc_id", "n", "node"])
+                rows = batch.slice(x, y - x)
+                yield pa.RecordBatch.from_arrays([C.column(rows, "sid"), C.column(rows, "doc_id"), pa.array(n.astype(np.int64)), pa.array(_node(h, bounds).view(np.int64), mask=n == 0)], names=["sid", "doc_id", "n", "node"])
 
     return run
 
@@ -140,13 +144,13 @@ def _described(words: int):
 def _parts(percent: int, words: int):
     def run(batches):
         for batch in batches:
-            ids = C.column(batch, "doc_id")
+            sids = C.column(batch, "sid")
             for x, y, h, _, bounds in shingles(C.column(batch, "text"), words):
                 label, keys, sets, need = part_keys(h, bounds, percent)
                 per_label = pa.ListArray.from_arrays(pa.array(np.searchsorted(label, np.arange(len(sets) + 1)).astype(np.int32)), pa.array(keys.view(np.int64)))
                 groups = pa.StructArray.from_arrays([pa.array(need.astype(np.int32)), per_label], names=["need", "keys"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(sets, np.arange(y - x + 1)).astype(np.int32)), groups)
-                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x), lists], names=["doc_id", "labels"])
+                yield pa.RecordBatch.from_arrays([sids.slice(x, y - x), lists], names=["sid", "labels"])
 
     return run
 
@@ -157,8 +161,7 @@ def _sets(words: int):
             for x, y, h, _, bounds in shingles(C.column(batch, "text"), words):
                 rows = batch.slice(x, y - x)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
-                same = pa.array(_node(h, bounds).view(np.int64) == C.column(rows, "node").to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*(C.column(rows, c) for c in ("node", "comp", "i", "j")), lists], names=["node", "comp", "i", "j", "hashes"]).filter(same)
+                yield pa.RecordBatch.from_arrays([*(C.column(rows, c) for c in ("sid", "comp", "i", "j", "root")), lists], names=["sid", "comp", "i", "j", "root", "hashes"])
 
     return run
 
@@ -166,30 +169,32 @@ def _sets(words: int):
 class Tree:
     """Levels of nodes over sorted leaves; level 0 has the leaves."""
 
-    def __init__(self, sets: list[np.ndarray], groups: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], groups: np.ndarray, roots: np.ndarray):
         sizes = np.array([len(s) for s in sets])
         bits = 1 << max(9, min(14, int(4 * np.median(sizes)).bit_length()))
         maps = np.zeros((len(sets), bits // 64), np.uint64)
-        owner, every = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
-        bit = C.mix(every + _A) % np.uint64(bits)
-        np.bitwise_or.at(maps, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+        for i, s in enumerate(sets):
+            bit = C.mix(s + _A) % np.uint64(bits)
+            np.bitwise_or.at(maps[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
         hidden = sizes - np.bitwise_count(maps).sum(axis=1)
-        self.levels = [(maps, sizes, sizes, hidden, groups, groups)]
+        self.levels = [(maps, sizes, sizes, hidden, groups, groups, roots, roots)]
         while len(maps) > FANOUT:
             at = np.arange(0, len(maps), FANOUT)
-            maps, low, high, hidden, a, b = self.levels[-1]
+            maps, low, high, hidden, a, b, p, q = self.levels[-1]
             maps = np.bitwise_or.reduceat(maps, at, axis=0)
-            self.levels.append((maps, np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(hidden, at), np.minimum.reduceat(a, at), np.maximum.reduceat(b, at)))
+            least, most = np.minimum.reduceat, np.maximum.reduceat
+            self.levels.append((maps, least(low, at), most(high, at), most(hidden, at), least(a, at), most(b, at), least(p, at), most(q, at)))
 
     def possible(self, level: int, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-        maps, low, high, hidden, a, b = self.levels[level]
+        maps, low, high, hidden, a, b, p, q = self.levels[level]
         keep = (a[x] <= b[y]) & (a[y] <= b[x]) & (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
+        keep &= (p[x] != q[x]) | (p[y] != q[y]) | (p[x] != p[y])  # all of one root
         x, y, at = x[keep], y[keep], np.flatnonzero(keep)
         shared = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[x], hidden[y])
         shared = np.minimum(shared, np.minimum(high[x], high[y]))
         return at[(100 + percent) * shared >= percent * (low[x] + low[y])]
 
-    def pairs(self, percent: int, most: int = 1 << 14):
+    def pairs(self, percent: int, most: int = 1 << 12):
         """Blocks of pairs of different leaves that may link."""
         top = len(self.levels) - 1
         n = len(self.levels[top][1])
@@ -224,13 +229,16 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def tree_join(nodes: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """(node, smallest node) of the components of links within groups, except where they are the same."""
-    order = np.lexsort(([len(s) for s in sets], [int(s[0]) for s in sets], groups))
-    nodes, sets, groups = nodes[order], [sets[i] for i in order], groups[order]
-    parent = np.arange(len(sets))
+def tree_join(ids: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(id, smallest id) of the components of links within groups, except where they are the same. Sets of one root are
+    connected already."""
+    order = np.lexsort(([len(s) for s in sets], [int(s[0]) for s in sets], roots, groups))
+    ids, sets, groups = ids[order], [sets[i] for i in order], groups[order]
+    _, first, root_of = np.unique(np.stack([groups, roots[order]]), axis=1, return_index=True, return_inverse=True)
+    root_of = root_of.ravel()
+    parent = first[root_of]
 
-    def roots() -> np.ndarray:
+    def roots_now() -> np.ndarray:
         while (parent[parent] != parent).any():
             parent[:] = parent[parent]
         return parent
@@ -241,27 +249,27 @@ def tree_join(nodes: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, per
             i = parent[i]
         return i
 
-    for x, y in Tree(sets, groups).pairs(percent):
+    for x, y in Tree(sets, groups, root_of).pairs(percent):
         for k in range(0, len(x), 1024):
-            own = roots()
+            own = roots_now()
             apart = own[x[k : k + 1024]] != own[y[k : k + 1024]]
             for i, j in zip(x[k : k + 1024][apart].tolist(), y[k : k + 1024][apart].tolist(), strict=True):
                 p, q = root(i), root(j)
                 if p != q and linked(sets[i], sets[j], percent):
                     parent[max(p, q)] = min(p, q)
-    own = roots()
+    own = roots_now()
     least: dict[int, int] = {}
-    for r, n in zip(own.tolist(), nodes.tolist(), strict=True):
+    for r, n in zip(own.tolist(), ids.tolist(), strict=True):
         least[r] = min(n, least.get(r, n))
-    return [(n, least[r]) for r, n in zip(own.tolist(), nodes.tolist(), strict=True) if n != least[r]]
+    return [(n, least[r]) for r, n in zip(own.tolist(), ids.tolist(), strict=True) if n != least[r]]
 
 
 def _joined(percent: int):
     def run(batches):
-        nodes, sets, groups, seen, size = [], [], [], {}, 0
+        ids, sets, groups, roots, seen, size = [], [], [], [], {}, 0
 
         def flush():
-            found = tree_join(np.array(nodes), sets, np.array(groups), percent)
+            found = tree_join(np.array(ids), sets, np.array(groups), np.array(roots), percent)
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -271,12 +279,13 @@ def _joined(percent: int):
                 group = tuple(C.column(batch, c)[r].as_py() for c in ("comp", "i", "j"))
                 if size > GATHER and group not in seen:
                     yield flush()
-                    nodes, sets, groups, seen, size = [], [], [], {}, 0
-                nodes.append(C.column(batch, "node")[r].as_py())
+                    ids, sets, groups, roots, seen, size = [], [], [], [], {}, 0
+                ids.append(C.column(batch, "sid")[r].as_py())
+                roots.append(C.column(batch, "root")[r].as_py())
                 sets.append(lists[r].values.to_numpy().view(np.uint64).copy())
                 groups.append(seen.setdefault(group, len(seen)))
                 size += len(sets[-1])
-        if nodes:
+        if ids:
             yield flush()
 
     return run
@@ -285,7 +294,9 @@ def _joined(percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b). The star of each connected component: (a, b), b its smallest node, a every other node.
 
-    Alternating large and small stars; each round is written out, and no group is ever gathered in one place.
+    Alternating large and small stars; each round is written out, and no group is ever gathered in one place: the smallest
+    neighbours are written too, so that both sides of a join are plain scans, which Spark broadcasts or splits where a
+    centre has a large share of the rows.
     """
     tie = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, known = C.persisted(tie(edges), "components"), None
@@ -295,61 +306,159 @@ def components(edges: DataFrame) -> DataFrame:
             return now
         known = mark
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = C.persisted(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "components-least")
         large = tie(both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(now.join(least, F.col("a") == F.col("u")).select("a", F.col("m").alias("b"))))
         large = C.persisted(large, "components")
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        least = C.persisted(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "components-least")
         small = large.join(least, F.col("a") == F.col("u"))
         now = C.persisted(tie(small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b")))), "components")
 
 
-def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = C.persisted(docs.mapInArrow(_described(words), "doc_id long, n long, node long"), "jaccard-nodes")
-    own = C.persisted(described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "jaccard-first")
-    # The first document with a set speaks for all; its id, unlike the set's hash, takes few bytes in a shuffle. Keys are
-    # computed twice rather than kept: first only counted, then joined with those that occur again.
-    firsts = own.select(F.col("first").alias("doc_id")).filter("doc_id is not null").distinct()
-    speakers = docs.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts, "doc_id", "left_semi")
-    labels = speakers.mapInArrow(_parts(percent, words), "doc_id long, labels array<struct<need:int,keys:array<long>>>")
-    parts = labels.select("doc_id", F.posexplode("labels").alias("label", "x")).select("doc_id", "label", "x.need", F.explode("x.keys").alias("key"))
+def _starred(star: DataFrame) -> DataFrame:
+    """(sid, comp) of all nodes of a star's components, centres included."""
+    return star.select(F.col("a").alias("sid"), F.col("b").alias("comp")).unionAll(star.select(F.col("b").alias("sid"), F.col("b").alias("comp")).distinct())
+
+
+def _identified(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All rows as (doc_id, text, sid, __row with all columns), and one (sid, text) for each sid: the id, or a 64-bit hash of
+    the text where the id is null or stands for several texts."""
+    own = F.xxhash64("text")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*(f"`{c}`" for c in documents.columns)).alias("__row"))
+    by_id = docs.groupBy("doc_id").agg(F.count("*").alias("c"), F.min(own).alias("x"), F.max(own).alias("y"))
+    again = C.persisted(by_id.filter("c > 1 or doc_id is null").select("doc_id", (F.col("doc_id").isNull() | (F.col("x") != F.col("y"))).alias("several")), "jaccard-ids")
+    if again.isEmpty():
+        docs = docs.withColumn("sid", F.col("doc_id"))
+        return docs, docs.select("sid", "text")
+    # Rows without an id have no place in a join, where all would meet in one task.
+    marked = docs.filter("doc_id is not null").join(C.small(again.filter("doc_id is not null")), "doc_id", "left")
+    marked = marked.unionByName(docs.filter("doc_id is null").withColumn("several", F.lit(True)))
+    marked = marked.withColumn("sid", F.when(F.col("several"), own).otherwise(F.col("doc_id")))
+    once = marked.filter("several is null").select("sid", "text")
+    more = C.persisted(marked.filter("several is not null").groupBy("sid").agg(F.max("text").alias("text")), "jaccard-repeated")
+    return marked.select("doc_id", "text", "sid", "__row"), once.unionAll(more)
+
+
+def _linked(dealt: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """dealt: (sid, comp, i, j, root). Links within the tasks (comp, i, j)."""
+    dealt = C.persisted(dealt, "jaccard-dealt")
+    ids = C.persisted(dealt.select("sid").distinct(), "jaccard-wanted")
+    picked = texts.join(C.small(ids), "sid", "left_semi")
+    sets = picked.join(dealt, "sid").select("text", "sid", "comp", "i", "j", "root").mapInArrow(_sets(words), "sid long, comp long, i int, j int, root long, hashes array<long>")
+    return C.persisted(sets.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_joined(percent), "a long, b long"), "jaccard-links")
+
+
+def _blocks(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """rows: (sid, n, ...). Per value of `by`: the blocks that its sets need."""
+    return rows.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+
+
+def _part(salt: str, blocks: str = "blocks"):
+    return F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(blocks)).cast("int")
+
+
+def _described_rows(docs: DataFrame, texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """Per row of docs: doc_id, sid, n, node (of its set), root (of its component; null without shingles)."""
+    described = C.persisted(docs.mapInArrow(_described(words), "sid long, doc_id long, n long, node long"), "jaccard-nodes")
+    own = C.persisted(described.filter("node is not null").groupBy("node").agg(F.min("sid").alias("sid"), F.max("n").alias("n")), "jaccard-own")
+    # One text speaks for a set; its id, unlike the set's hash, takes few bytes in a shuffle. Keys are computed twice rather
+    # than kept: first only counted, then joined with those that occur again.
+    speakers = texts.join(C.small(own.select("sid")), "sid", "left_semi")
+    labels = speakers.mapInArrow(_parts(percent, words), "sid long, labels array<struct<need:int,keys:array<long>>>")
+    parts = labels.select("sid", F.posexplode("labels").alias("label", "x")).select("sid", "label", "x.need", F.explode("x.keys").alias("key"))
     shared = parts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    by_rarity = Window.partitionBy("doc_id", "label").orderBy(F.desc("c"), "key")  # a set's parts at most
+    by_rarity = Window.partitionBy("sid", "label").orderBy(F.desc("c"), "key")  # a set's parts at most
     rare = parts.join(shared, "key").withColumn("r", F.row_number().over(by_rarity)).filter("r >= need")
-    rare = C.persisted(rare.select("key", "doc_id"), "jaccard-rare")
-    centres = rare.groupBy("key").agg(F.min("doc_id").alias("m"))
-    candidates = components(rare.join(centres, "key").filter("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")))
-    members = candidates.select(F.col("a").alias("first"), F.col("b").alias("comp")).unionAll(candidates.select(F.col("b").alias("first"), F.col("b").alias("comp")).distinct())
-    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    # A null id can't be looked up: such a set's text is found through a row that has one, or stays alone.
-    dealt = members.join(sizes, "comp").join(own, "first")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = C.persisted(dealt.select("node", "comp", "first", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "blocks"), "jaccard-dealt")
-    ids = dealt.select(F.col("first").alias("doc_id")).distinct()
-    picked = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = picked.join(dealt, F.col("doc_id") == F.col("first")).select("text", "node", "comp", "i", "j").mapInArrow(_sets(words), "node long, comp long, i int, j int, hashes array<long>")
-    links = sets.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_joined(percent), "a long, b long")
-    links = C.persisted(links, "jaccard-links")
-    if not dealt.filter("blocks > 1").isEmpty():
+    rare = C.persisted(rare.select("key", "sid").distinct(), "jaccard-rare")
+    keys = C.persisted(rare.groupBy("key").agg(F.min("sid").alias("m"), F.count("*").alias("g")).filter("g > 1"), "jaccard-keys")
+    starred = rare.join(keys, "key")
+    members = C.persisted(_starred(components(starred.filter("sid <> m").select(F.col("sid").alias("a"), F.col("m").alias("b")))).join(own.select("sid", "n"), "sid"), "jaccard-members")
+    blocks = C.persisted(_blocks(members, "comp", block), "jaccard-blocks")
+    placed = members.join(blocks, "comp")
+    zero = F.lit(0)
+    whole = placed.filter("blocks = 1").select("sid", "comp", zero.alias("i"), zero.alias("j"), F.col("sid").alias("root"))
+    large = C.persisted(placed.filter("blocks > 1").select("sid", "comp", "n"), "jaccard-large")
+    if large.isEmpty():
+        links = _linked(whole, texts, words, percent)
+    else:
+        # The first round: with the first set of the rarest key; sets that are first in all their keys are centres only.
+        nearest = starred.filter("sid <> m").groupBy("sid").agg(F.min(F.struct("g", "key", "m")).alias("x")).select("sid", F.col("x.m").alias("m"))
+        nearest = C.persisted(large.join(nearest, "sid").select("sid", "n", "m"), "jaccard-nearest")
+        dealt = nearest.join(_blocks(nearest, "m", block), "m")
+        each = dealt.select("sid", F.col("m").alias("comp"), _part("round 1").alias("i"), F.lit(1).alias("j"))
+        centres = _blocks(nearest, "m", block).select(F.col("m").alias("sid"), F.col("m").alias("comp"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(1).alias("j"))
+        links = _linked(whole.unionAll(each.unionAll(centres).withColumn("root", F.col("sid"))), texts, words, percent)
+        # The second: keys whose sets are not all connected.
+        roots = large.join(C.persisted(components(links).select(F.col("a").alias("sid"), F.col("b").alias("root")), "jaccard-roots"), "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("root"))
+        roots = C.persisted(roots, "jaccard-rooted")
+        rooted = rare.join(roots, "sid")
+        mixed = C.persisted(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("sid").alias("m")).filter("x <> y").select("key", "m"), "jaccard-mixed")
+        if not mixed.isEmpty():
+            again = components(rooted.join(mixed, "key").filter("sid <> m").select(F.col("sid").alias("a"), F.col("m").alias("b")))
+            rest = C.persisted(_starred(again).join(roots, "sid"), "jaccard-rest")
+            main = rest.groupBy("comp", "root").agg(F.count("*").alias("c")).groupBy("comp").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+            rest = C.persisted(rest.join(main, "comp").withColumn("other", F.col("root") != F.col("main")), "jaccard-rest")
+            rest = rest.join(_blocks(rest, "comp", block), "comp").join(_blocks(rest.filter("other"), "comp", block).withColumnRenamed("blocks", "others"), "comp")
+            rows = rest.select("sid", "comp", "root", "other", "others", "blocks", _part("all").alias("mine"), _part("others", "others").alias("apart"))
+            every = rows.select("sid", "comp", F.col("mine").alias("i"), F.explode(F.expr("sequence(0, others - 1)")).alias("j"), "root")
+            others = rows.filter("other").select("sid", "comp", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.col("apart").alias("j"), "root")
+            links = links.unionAll(_linked(every.unionAll(others).distinct(), texts, words, percent))
         links = components(links)
-    nodes = own.join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = nodes.join(least, "root").select("node", "component_id")
-    return described.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = own.join(links.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").select("node", F.coalesce("root", "sid").alias("root"))
+    return described.join(nodes, "node", "left")
+
+
+def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id."""
+    docs, texts = _identified(documents, id_col, text_col)
+    rows = C.persisted(_described_rows(docs.select("sid", "doc_id", "text"), texts, words, percent, block), "jaccard-rows")
+    least = C.persisted(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, without those whose component has a smaller id."""
-    gone = join(documents, id_col, text_col, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The documents, all columns, one row of each component: that with the smallest id (null last), then the smallest hash
+    of its text. Of repeated rows (one id, or none, and one text) one stays, whichever columns' hash is smallest."""
+    docs, texts = _identified(documents, id_col, text_col)
+    rows = C.persisted(_described_rows(docs.select("sid", "doc_id", "text"), texts, words, percent, BLOCK), "jaccard-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "sid")
+    inside = rows.filter("root is not null").select("root", "sid", "doc_id", place.alias("place"))
+    least = C.persisted(inside.groupBy("root").agg(F.min("place").alias("least")), "jaccard-least")
+    gone = C.persisted(inside.join(least, "root").filter("place <> least").select(F.col("sid").alias("__sid"), F.col("doc_id").alias("__id")).distinct(), "jaccard-gone")
+    same = (F.col("sid") == F.col("__sid")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    kept = docs.join(C.small(gone), same, "left_anti")
+    twice = C.persisted(rows.groupBy("sid", "doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("sid").alias("__sid"), F.col("doc_id").alias("__id")), "jaccard-twice")
+    if not twice.isEmpty():
+        twice = C.small(twice)
+        by = F.xxhash64(*(f"__row.`{c}`" for c, t in documents.dtypes if "map<" not in t and t != "variant"))
+        once = kept.join(twice, same, "left_semi").groupBy("sid", "doc_id").agg(F.min_by("__row", by).alias("__row")).select("__row")
+        kept = kept.join(twice, same, "left_anti").select("__row").unionAll(once)
+    return kept.select("__row.*")
 
 
 def op10_jaccard_join(spark, sf_dir):
     return join(C.table(spark, sf_dir, "documents"))
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL = {
+    "op10_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {WORDS - 1}], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT min(doc_id) AS rep, list(doc_id) AS ids FROM (SELECT doc_id, list(s ORDER BY s) AS x FROM s GROUP BY doc_id) GROUP BY x),
+c AS (SELECT s.doc_id, s.s FROM s JOIN k ON s.doc_id = k.rep),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * m >= {PERCENT} * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS v, rep AS u FROM k UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a),
+g AS (SELECT v, min(u) AS least FROM r GROUP BY v),
+h AS (SELECT unnest(ids) AS doc_id, least FROM k JOIN g ON k.rep = g.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(h.least, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN h ON d.doc_id = h.doc_id"""
+}
+
+
 def brute_force(rows: list[tuple[int, str | None]], words: int = WORDS, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
     """doc_id to (n_shingles, component_id) by all pairs that share a shingle, for tests."""
     import re

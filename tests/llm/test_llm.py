@@ -292,6 +292,72 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.representatives(odd(spark)).columns == odd(spark).columns
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    """Rows without an id link and are matched; one id on two texts is two documents; of equal rows one stays."""
+    a = " ".join(f"a{i}" for i in range(30))
+    b = " ".join(f"b{i}" for i in range(30))
+    c = " ".join(f"c{i}" for i in range(30))
+    rows = [(None, a), (5, a + " end"), (None, b), (None, b + " x"), (None, b), (7, c), (7, "d e f g h i j"), (8, c + " y"), (None, None), (9, ""), (9, "")]
+    df = odd(spark, [(*r, "s", "en") for r in rows])
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()), key=repr)
+    assert got == sorted([(None, 28, 5), (5, 29, 5), (None, 28, None), (None, 29, None), (None, 28, None), (7, 28, 7), (7, 5, 7), (8, 29, 7), (None, 0, None), (9, 0, 9), (9, 0, 9)], key=repr)
+    kept = [(r.doc_id, r.text) for r in jaccard_join.representatives(df).collect()]
+    assert len(kept) == 6 and {(5, a + " end"), (7, c), (7, "d e f g h i j"), (None, None), (9, "")} < set(kept)
+    assert sum(t in (b, b + " x") for _, t in kept) == 1
+
+
+@pytest.mark.parametrize("how, texts", [({}, ["k435069 k224491 k494138 k524947 k960069 k898937 k576610 k548975 k804551 k424771 k958278"]), ({"words": 5, "percent": 80}, ["k592921 k129815 k993473 k234083 k661259 k657911 k611316 k993744"])])
+def test_jaccard_two_documents(spark, how, texts):
+    for t in texts:
+        got = jaccard_join.join(spark.createDataFrame([(1, t), (2, t + " k64867")], "doc_id long, text string"), **how).collect()
+        assert {r.component_id for r in got} == {1}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_two_sets_of_all_sizes(percent):
+    """Of two sets alone in a table, all sizes 1-40 that can link, a common key is kept by both."""
+    rng, links = np.random.default_rng(9), 0
+    for n in range(1, 41):
+        for m in range(n, 41):
+            shared = -(-percent * (n + m) // (100 + percent))
+            if shared > n:
+                continue
+            for _ in range(6):
+                h = rng.integers(0, 2**63, n + m - shared).astype(np.uint64)
+                pair = [np.sort(h[:n]), np.sort(np.concatenate([h[:shared], h[n:]]))]
+                assert jaccard_join.linked(*pair, percent)
+                if n == m == shared:
+                    continue
+                links += 1
+                owner, keys, of, need = jaccard_join.part_keys(np.concatenate(pair), np.array([0, n, n + m]), percent)
+                common = set(keys[of[owner] == 0].tolist()) & set(keys[of[owner] == 1].tolist())
+                kept = [set(), set()]
+                for label, s in enumerate(of):
+                    kept[s] |= set(sorted(common & set(keys[owner == label].tolist()))[need[label] - 1 :])
+                assert kept[0] & kept[1]
+    assert links > 500
+
+
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 100])
+def test_jaccard_large_clusters(spark, block):
+    """A thousand near copies, beside families that share parts with them but do not all link."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(1000):
+        t = list(base)
+        t[rng.randrange(len(t))] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    for i in range(300):
+        t = list(base)
+        for _ in range(rng.choice([2, 3, 4, 5, 6, 8, 12])):
+            t[rng.randrange(len(t))] = f"y{rng.randrange(60)}"
+        rows.append((2000 - i, " ".join(t)))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert got == jaccard_join.brute_force(rows)
+
+
 @pytest.mark.parametrize("hot", [0, 12])
 @pytest.mark.parametrize("percent", [80, 90])
 def test_jaccard_small_sets_keep_a_common_part(percent, hot):
