@@ -59,8 +59,8 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, without copying; a null is an empty text."""
     if texts.null_count:
-        texts = texts.fill_null("")
-    wide = pa.types.is_large_string(texts.type)
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -106,11 +106,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[e] - H[s] = sum of (byte + 1) * BASE**i over s <= i < e."""
+def prefix_hash(data: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """H with H[e] - H[s] = sum of value(byte) * BASE**i over s <= i < e; a byte's value is itself + 1 if none are given."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=out[1:])
+    np.cumsum((data.astype(U64) + U64(1) if values is None else values[data]) * up[: len(data)], out=out[1:])
     return out
 
 

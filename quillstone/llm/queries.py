@@ -17,4 +17,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-ORACLE_SQL = decontaminate.ORACLE_SQL | mixing.ORACLE_SQL | chat.ORACLE_SQL | licences.ORACLE_SQL | jaccard_join.ORACLE_SQL
+ORACLE_SQL = decontaminate.ORACLE_SQL | mixing.ORACLE_SQL | chat.ORACLE_SQL | licences.ORACLE_SQL | suffix_dedup.ORACLE_SQL | jaccard_join.ORACLE_SQL

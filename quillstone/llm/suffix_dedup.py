@@ -11,8 +11,13 @@ found among segments with the same anchor:
    bytes fix the boundaries in the suffix array where the common prefix is 0, 1, 2 ... bytes; expansion stops at `length`,
    and what no boundary divides shares at least `length` bytes. Of each such class all but the earliest are repeats.
 
-An anchor with over HOT different segments (a common line after ever new text) would make one task's text too large; its
-strings are collapsed one by one by two 64-bit hashes instead, combined before the shuffle, which is exact for any number.
+An anchor with over HOT different segments (a common line after ever new text) is split before its strings are compared:
+its segments are texts that are cut again by the smallest hash of a longer gram, at last of `length` bytes, and steps 1-3
+are taken for these smaller segments. So one task's text is bounded for any number of them.
+
+Texts are cut into pieces of SLICE bytes that overlap by `length` - 1, so that memory does not grow with a text's length.
+Anchors and segments are known by two 64-bit hashes with unlike values for a byte; two segments are taken for equal if
+both agree. Strings of different segments are compared byte by byte.
 
 Defined results: a null text is an empty one; texts shorter than `length` are kept whole; a null id comes last; rows with
 one id and text are one document (repeated rows get equal results); different texts of one id, or without an id, are
@@ -32,13 +37,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, GRAM = 100, 32
-HOT = 20_000
+#: Different segments of one anchor that one BWT may hold (each of less than 2 * LENGTH bytes).
+HOT = 4096
 #: Bytes of one BWT.
 TEXT_BYTES = 1 << 20
 #: Bytes of documents cut into segments at a time; temporary arrays take some 150 bytes for each.
 SLICE = 1 << 20
-#: Up to so many document ids (8 bytes each) are broadcast to pick texts; beyond that a join is used.
-BROADCAST_IDS = 1_000_000
+_VALUES = C.mix(np.arange(256) + 0x5A17)
 
 _SEGMENTS = "doc_id long, variant long, anchor long, seg long, a int, n int"
 _RUNS = "doc_id long, variant long, a int, n int"
@@ -72,7 +77,8 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     first = np.flatnonzero(new)
     runs = np.diff(np.append(first, len(start)))
     a = start[first]
-    return text[first], grams[anchor[first]].view(np.int64), C.span_hash(h, a, a + runs - 1 + length).view(np.int64), a - offsets[text[first]], runs
+    whole = C.span_hash(C.prefix_hash(data, _VALUES), a, a + runs - 1 + length)
+    return text[first], grams[anchor[first]].view(np.int64), whole.view(np.int64), a - offsets[text[first]], runs
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -148,159 +154,177 @@ def boundaries(codes: np.ndarray, order: np.ndarray, n_symbols: int, length: int
     return fixed[:n]
 
 
-def repeats(segments: list[bytes], docs: np.ndarray, variants: np.ndarray, starts: np.ndarray, length: int):
-    """(segment, offset, count) of runs of strings that also occur earlier, by (doc, variant, start), in these segments."""
-    sizes = np.array([len(s) for s in segments])
-    raw = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
-    ends = np.cumsum(sizes + 1) - 1
-    used = np.unique(raw)
-    codes = (np.searchsorted(used, raw) + 1).astype(np.uint8)
-    codes[ends] = 0
+def repeats(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, variants: np.ndarray, starts: np.ndarray, length: int):
+    """(segment, offset, count) arrays: runs of strings that also occur earlier, by (doc, variant, start), in these segments,
+    whose bytes are data[offsets[i] : offsets[i + 1]]."""
+    sizes = np.diff(offsets)
+    code = np.zeros(256, np.uint8)
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    code[used] = np.arange(1, len(used) + 1)
+    codes = np.zeros(len(data) + len(sizes), np.uint8)  # 0 after each segment
+    codes[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = code[data]
     order = suffix_order(codes, length)
     fixed = boundaries(codes, order, len(used) + 2, length)
-    owner = np.repeat(np.arange(len(segments)), sizes + 1)
-    offset = np.arange(len(codes)) - (ends - sizes)[owner]
-    whole = offset + length <= sizes[owner]
-    classes = np.cumsum(fixed)[whole[order]]
-    at = order[whole[order]]
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    offset = np.arange(len(codes)) - (offsets[:-1] + np.arange(len(sizes)))[owner]
+    whole = (offset + length <= sizes[owner])[order]
+    classes, at = np.cumsum(fixed)[whole], order[whole]
+    several = np.bincount(classes, minlength=1)[classes] > 1
+    classes, at = classes[several], at[several]
     sort = np.lexsort((starts[owner[at]] + offset[at], variants[owner[at]], docs[owner[at]], classes))
     classes, at = classes[sort], at[sort]
     later = np.zeros(len(at), bool)
     later[1:] = classes[1:] == classes[:-1]
     found = np.sort(at[later])
-    if not len(found):
-        return []
-    cut = np.flatnonzero(np.diff(found) != 1) + 1
-    first = found[np.concatenate([[0], cut])]
-    count = np.diff(np.concatenate([[0], cut, [len(found)]]))
-    return list(zip(owner[first].tolist(), offset[first].tolist(), count.tolist(), strict=True))
+    first = np.ones(len(found), bool)
+    first[1:] = np.diff(found) != 1
+    first = np.flatnonzero(first)
+    return owner[found[first]], offset[found[first]], np.diff(np.append(first, len(found)))
+
 
+def _pieces(offsets: np.ndarray, length: int):
+    """(text, start in it, first byte, last byte) of overlapping pieces of at most SLICE string starts."""
+    n = np.maximum(1, -(-(np.diff(offsets) - length + 1) // SLICE))
+    text = np.repeat(np.arange(len(n)), n)
+    start = SLICE * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
+    return text, start, offsets[text] + start, np.minimum(offsets[text] + start + SLICE + length - 1, offsets[text + 1])
+
+
+def _segment_rows(length: int, gram: int, column: str = "text"):
+    """Of texts, or of segments cut before, whose place in the text is `a`."""
 
-def _segment_rows(length: int, gram: int):
     def run(batches):
         for batch in batches:
             ids, variants = (C.column(batch, c).to_numpy(zero_copy_only=False) for c in _DOC)
-            data, offsets = C.text_buffers(C.column(batch, "text"))
-            for x, y in C.slices(offsets, SLICE):
-                text, anchor, seg, a, n = segments_of(*C.sub(offsets, data, x, y), length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x:y][text]), pa.array(variants[x:y][text]), pa.array(anchor), pa.array(seg), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=[*_DOC, "anchor", "seg", "a", "n"])
+            base = C.column(batch, "a").to_numpy().astype(np.int64) if "a" in batch.schema.names else np.zeros(len(batch), np.int64)
+            data, offsets = C.text_buffers(C.column(batch, column))
+            text, start, low, high = _pieces(offsets, length)
+            at = 0
+            while at < len(text):
+                to = max(at + 1, int(np.searchsorted(high, low[at] + SLICE, "right")))
+                if to - at == 1:
+                    part, off = data[low[at] : high[at]], np.array([0, high[at] - low[at]])
+                else:  # short texts, which follow each other
+                    part, off = data[low[at] : high[to - 1]], np.append(low[at:to], high[to - 1]) - low[at]
+                own, anchor, seg, a, n = segments_of(part, off, length, gram)
+                row = text[at:to][own]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(variants[row]), pa.array(anchor), pa.array(seg), pa.array((a + start[at:to][own] + base[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=[*_DOC, "anchor", "seg", "a", "n"])
+                at = to
 
     return run
 
 
 def _expanded(length: int):
-    def run(batches):
-        held: list[dict] = []
-
-        def flush(rows):
-            segments = [r["bytes"] for r in rows]
-            docs, variants = (np.array([r[c] for r in rows]) for c in _DOC)
-            starts = np.array([r["a"] for r in rows])
-            found = repeats(segments, docs, variants, starts, length)
-            return pa.RecordBatch.from_arrays([*(pa.array([int(x[s]) for s, _, _ in found], pa.int64()) for x in (docs, variants)), pa.array([int(starts[s]) + o for s, o, _ in found], pa.int32()), pa.array([c for _, _, c in found], pa.int32())], names=[*_DOC, "a", "n"])
+    """Batches of segments, sorted by (anchor, seg): runs of repeats, anchors kept together, many in one BWT."""
+    names = ("anchor", "seg", *_DOC, "a")
 
-        size = 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["anchor"] == held[-1]["anchor"] and row["seg"] == held[-1]["seg"]:
-                    continue  # repeated rows of the table
-                if size > TEXT_BYTES and row["anchor"] != held[-1]["anchor"]:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["bytes"])
-        if held:
-            yield flush(held)
-
-    return run
+    def found(rows, data, offsets):
+        _, _, docs, variants, starts = rows
+        own, offset, n = repeats(data, offsets, docs, variants, starts.astype(np.int64), length)
+        return pa.RecordBatch.from_arrays([pa.array(docs[own]), pa.array(variants[own]), pa.array((starts[own] + offset).astype(np.int32)), pa.array(n.astype(np.int32))], names=[*_DOC, "a", "n"])
 
-
-def _strings(length: int):
     def run(batches):
+        rows, data, offsets = None, np.zeros(0, np.uint8), np.zeros(1, np.int64)
         for batch in batches:
-            rows = batch.to_pylist()
-            if not rows:
-                continue
-            data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-            offsets = np.cumsum([0, *(len(r["bytes"]) for r in rows)])
-            counts = np.diff(offsets) - length + 1
-            owner = np.repeat(np.arange(len(rows)), counts)
-            inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = offsets[owner] + inner
-            one = C.span_hash(C.prefix_hash(data), start, start + length)
-            two = C.span_hash(C.prefix_hash(data ^ np.uint8(0x5A)), start, start + length)
-            ids, variants, a = (np.array([r[c] for r in rows]) for c in (*_DOC, "a"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(variants[owner]), pa.array((a[owner] + inner).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=[*_DOC, "a", "h1", "h2"])
+            more = [C.column(batch, c).to_numpy(zero_copy_only=False) for c in names]
+            bytes_, ends = C.text_buffers(C.column(batch, "bytes"))
+            rows = more if rows is None else [np.concatenate(x) for x in zip(rows, more, strict=True)]
+            data, offsets = np.concatenate([data, bytes_]), np.concatenate([offsets, offsets[-1] + ends[1:]])
+            new = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1  # anchors that begin; the last may go on in the next batch
+            at = 0
+            for to in new[np.flatnonzero(np.diff(offsets[new] // TEXT_BYTES))].tolist():
+                yield found([x[at:to] for x in rows], data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+                at = to
+            rows, data, offsets = [x[at:] for x in rows], data[offsets[at] :], offsets[at:] - offsets[at]
+        if rows is not None and len(rows[0]):
+            yield found(rows, data, offsets)
 
     return run
 
 
 def _picked(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents with these ids, and the others; few ids are broadcast, so that only picked texts are shuffled later."""
-    ids = ids.select(*_DOC).distinct()
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    side = C.small(C.persisted(ids.select(*_DOC).distinct(), "suffix-picked"))
     return docs.join(side, _DOC, "left_semi"), docs.join(side, _DOC, "left_anti")
 
 
-def _with_variant(docs: DataFrame) -> DataFrame:
-    """docs with `variant`: a hash of the text where the id occurs more than once, otherwise 0."""
+def _with_variant(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with `variant`, a hash of the text where the id occurs more than once, otherwise 0; and one row of each text."""
     again = C.persisted(docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id", F.lit(True).alias("again")), "suffix-ids")
-    n = again.count()
-    if not n:
-        return docs.withColumn("variant", F.lit(0).cast("long"))
-    return docs.join(F.broadcast(again) if n <= BROADCAST_IDS else again, "doc_id", "left").select("doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("variant"))
+    zero = F.lit(0).cast("long")
+    if again.isEmpty():
+        docs = docs.withColumn("variant", zero)
+        return docs, docs
+    marked = docs.join(C.small(again), "doc_id", "left").select("doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(zero).alias("variant"), "again")
+    more = C.persisted(marked.filter("again").groupBy(*_DOC).agg(F.max("text").alias("text")), "suffix-repeated")
+    return marked.drop("again"), marked.filter("again is null").select("doc_id", "text", "variant").unionByName(more)
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs: (doc_id long, variant long, neither ever null, together one text's; text). Runs of starts (doc_id, variant, a, n)
-    of strings that also start earlier."""
-    segments = docs.mapInArrow(_segment_rows(length, gram), _SEGMENTS)
-    anchors = segments.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
-    rows = C.persisted(segments.join(anchors, "anchor", "left_semi"), "suffix-rows")
+def _repeated(segments: DataFrame) -> DataFrame:
+    """Those whose anchor occurs again. Both sides of the join are written or plain, so Spark may split a frequent anchor."""
+    anchors = C.persisted(segments.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "suffix-anchors")
+    return C.persisted(segments.join(anchors, "anchor", "left_semi"), "suffix-rows")
+
+
+def _compared(rows: DataFrame, docs: DataFrame, length: int, grams: list[int], hot: int) -> DataFrame:
+    """rows: segments whose anchors occur again, written out. Runs of strings that also start earlier."""
     first = C.persisted(rows.groupBy("anchor", "seg").agg(F.min(F.struct(*_DOC, "a")).alias("f"), F.max("n").alias("n"), F.count("*").alias("c")), "suffix-first")
     again = first.filter("c > 1").select("anchor", "seg", F.col("f.doc_id").alias("d"), F.col("f.variant").alias("v"), F.col("f.a").alias("b"))
     copies = rows.join(again, ["anchor", "seg"]).filter("doc_id <> d or variant <> v or a <> b").select(*_DOC, "a", "n")
-    differing = first.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
+    differing = C.persisted(first.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"), "suffix-differing")
     wanted = first.join(differing, "anchor").select("anchor", "seg", "k", F.col("f.doc_id").alias("doc_id"), F.col("f.variant").alias("variant"), F.col("f.a").alias("a"), "n")
     texts, _ = _picked(docs, wanted)
     body = F.substring(F.col("text").cast("binary"), F.col("a") + 1, F.col("n") + (length - 1))
     wanted = C.persisted(wanted.join(texts, _DOC).select("anchor", "seg", "k", *_DOC, "a", body.alias("bytes")), "suffix-bytes")
-    columns = ("anchor", "seg", *_DOC, "a", "bytes")
-    differ = wanted.filter(F.col("k") <= hot).select(*columns).repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_expanded(length), _RUNS)
-    many = wanted.filter(F.col("k") > hot).select(*columns)
-    strings = many.mapInArrow(_strings(length), "doc_id long, variant long, a int, h1 long, h2 long")
-    earliest = strings.groupBy("h1", "h2").agg(F.min(F.struct(*_DOC, "a")).alias("f"))
-    late = strings.join(earliest, ["h1", "h2"]).filter("doc_id <> f.doc_id or variant <> f.variant or a <> f.a").select(*_DOC, "a", F.lit(1).alias("n"))
-    return copies.unionAll(differ).unionAll(late)
+    differ = wanted.filter(F.col("k") <= hot).drop("k").repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_expanded(length), _RUNS)
+    out = copies.unionAll(differ)
+    many = wanted.filter(F.col("k") > hot)
+    if grams and not many.isEmpty():
+        smaller = C.persisted(many.select(*_DOC, "a", "bytes").mapInArrow(_segment_rows(length, grams[0], "bytes"), _SEGMENTS), "suffix-smaller")
+        out = out.unionAll(_compared(_repeated(smaller), docs, length, grams[1:], hot))
+    return out
 
 
-def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes)."""
-    last = F.lit(2**63 - 1)
-    docs = documents.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = _with_variant(docs)
-    runs = C.persisted(repeated_runs(docs, length, gram, hot), "suffix-runs")
-    cut, whole = _picked(docs, runs)
-    by_doc = runs.groupBy(*_DOC).agg(F.collect_list(F.struct("a", "n")).alias("runs"))  # bounded by the document
+def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """docs: (doc_id long, variant long, neither ever null, together one row's; text). Runs of starts (doc_id, variant, a, n)
+    of strings that also start earlier."""
+    rows = _repeated(docs.mapInArrow(_segment_rows(length, gram), _SEGMENTS))
+    return _compared(rows, docs, length, [(gram + length) // 2, length], hot)
 
-    def removed(batches):
+
+def _cut(length: int):
+    """(doc_id, text, runs): what remains of each text, as intervals, so that memory follows the text and its runs."""
+
+    def run(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(C.column(batch, "text").to_pylist(), C.column(batch, "runs"), strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                flat = spans.values
-                a, n = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-                change = np.zeros(len(raw) + length + 1, np.int32)
-                np.add.at(change, a, 1)
-                np.add.at(change, np.minimum(a + n - 1 + length, len(raw)), -1)
-                covered = np.cumsum(change)[: len(raw)] > 0
-                n_spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-                out.append((len(raw), int(covered.sum()), n_spans, raw[~covered].tobytes()))
+            data, offsets = C.text_buffers(C.column(batch, "text"))
+            for i, spans in enumerate(C.column(batch, "runs")):
+                raw = data[offsets[i] : offsets[i + 1]]
+                a, n = (spans.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate((a + n - 1 + length)[order])
+                new = np.ones(len(a), bool)
+                new[1:] = a[1:] > b[:-1]
+                low, high = a[new], b[np.append(np.flatnonzero(new)[1:], len(a)) - 1]
+                kept = [raw[x:y] for x, y in zip([0, *high.tolist()], [*low.tolist(), len(raw)], strict=True)]
+                out.append((len(raw), int((high - low).sum()), len(low), np.concatenate(kept).tobytes()))
             columns = zip(*out, strict=True) if out else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([C.column(batch, "doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    cut = cut.join(by_doc, _DOC).select("doc_id", "text", "runs").mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return run
+
+
+def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes)."""
+    last = F.lit(2**63 - 1)
+    docs = documents.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs, once = _with_variant(docs)
+    runs = C.persisted(repeated_runs(once, length, gram, hot), "suffix-runs")
+    cut, whole = _picked(docs, runs)
+    by_doc = runs.groupBy(*_DOC).agg(F.collect_list(F.struct("a", "n")).alias("runs"))  # bounded by the document
+    cut = cut.join(by_doc, _DOC).select("doc_id", "text", "runs").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")
     whole = whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return cut.unionAll(whole).withColumn("doc_id", F.nullif("doc_id", last))
@@ -310,6 +334,22 @@ def op9_suffix_dedup(spark, sf_dir):
     return deduplicated(C.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLE_SQL = {
+    "op9_suffix_dedup": f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(0, n - {LENGTH - 1})) AS i FROM d WHERE n >= {LENGTH})),
+r AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS opens FROM r),
+g AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b),
+x AS (SELECT doc_id, min(i) AS low, max(i) + {LENGTH} AS high FROM g GROUP BY doc_id, span),
+y AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM x),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) || substr(any_value(h), 2 * max(high) + 1) AS kept,
+             sum(high - low) AS n_removed, count(*) AS n_spans FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+}
+
+
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:
     """The same by a dictionary of all strings, for tests."""
     seen: set[bytes] = set()

@@ -249,6 +249,36 @@ def test_suffix_dedup_texts_without_own_id(spark):
         assert sorted(got, key=repr) == want
 
 
+def test_suffix_dedup_hot_anchors(spark):
+    """A common line between ever new texts, and texts that differ in the middle, split by longer grams."""
+    rng = random.Random(6)
+    new = lambda n: "".join(rng.choice("abcdefgh ijklmnop") for _ in range(n))
+    line, start, end = new(130), new(60), new(60)
+    rows = [(i, new(rng.randrange(5, 120)) + line + new(rng.randrange(5, 120))) for i in range(40)]
+    rows += [(100 + i, new(50) + start + new(rng.choice([3, 20])) + end + new(50)) for i in range(40)] + [(200 + i, rng.choice(rows)[1][rng.randrange(40) :]) for i in range(20)]
+    want = suffix_dedup.brute_force(rows)
+    for hot in (1, 4):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+        assert got == want
+
+
+def test_suffix_dedup_long_texts(spark, monkeypatch):
+    """Texts of many pieces, by small pieces and by a text of 30 MB."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(1, base), (2, "x" * 77 + base[:1500] + "y" + base[1400:]), (3, base[500:900] + "zz" + base[2000:2600])]
+    data, offsets = np.frombuffer(base.encode() + base[:50].encode() + base.encode(), np.uint8), np.array([0, 3000, 3050, 6050])
+    monkeypatch.setattr(suffix_dedup, "SLICE", 256)
+    text, start, low, high = suffix_dedup._pieces(offsets, 100)
+    starts = [(t, s + i) for t, s, a, b in zip(text.tolist(), start.tolist(), low.tolist(), high.tolist(), strict=True) for i in range(b - a - 99)]
+    assert starts == [(t, i) for t in (0, 2) for i in range(2901)]
+    monkeypatch.undo()
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1000)) * 30_000
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.deduplicated(spark.createDataFrame([*rows, (4, long)], "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed").collect()}
+    want = suffix_dedup.brute_force(rows)
+    assert all(got[d] == want[d][:2] for d, _ in rows) and got[4] == (30_000_000, 30_000_000 - 1000)
+
+
 def test_boundaries_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(20):
