@@ -1,20 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer maps words to classes: insult, threat, target, negation, reported speech, other. Four small
-transducers over classes (negation near an insult or threat, reported speech before it, a target before or after it, and
-the weight that remains) are composed into one, which walks every clause; a clause is what lies between full stops, marks,
-line ends and the like. A document's score joins its matched clauses, not isolated words: a threat counts only towards a
-target, a denied or reported insult counts less, an addressed one more. What a target would add to earlier words is held
-open until one follows in the clause.
-
-The lexicon has a few words per language as fixed values, and insults learned from labelled rows: words, and beginnings of
-words, that occur in far more toxic documents than others. Learning uses at most about SAMPLE labelled documents, spread by
-a hash of the id, one of each group that shares its smallest hash of five words (copies would make all their words look
-telling), and keeps at most FEATURES features.
+A lexicon transducer maps words to classes: insult, threat, target, negation, reported speech, the two halves of separable
+verbs, other. Five small transducers over classes (a verb and its particle that are a threat together, negation near an
+insult or threat, reported speech before it, a target before or after it, and the weight that remains) are composed into
+one, which walks every clause; a clause is what lies between full stops, marks, line ends and the like. A document's score
+joins its matched clauses, not isolated words: a threat counts only towards a target, a denied or reported insult counts
+less, an addressed one more. What a target would add to earlier words is held open until one follows in the clause.
+
+The lexicon has a few words per language as fixed values, and words, and beginnings of words, learned from labelled rows:
+insults, which occur in far more toxic documents than others; threats, which do so only in clauses with a target; targets,
+which do so only in clauses with a threat. Learning uses at most about SAMPLE labelled documents, spread by a hash of the
+id, one of each group that shares its smallest hash of five words (copies would make all their words look telling).
 
 Defined results: a null or empty text scores like one without matches (the constant term alone); rows with a null label
 are not learned from; without any labelled rows the fixed values alone decide; a document with several labels counts once
-for each; repeated rows are scored one by one; other columns are ignored.
+for each different one; of rows that repeat an id one text is learned from; repeated rows are scored one by one; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,23 +29,27 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-SAMPLE, FEATURES = 20_000, 20_000
-#: Bytes of beginnings of words, the least log-odds and log-likelihood ratio of a learned insult, words that a negation reaches.
+SAMPLE = 20_000
+#: Bytes of beginnings of words, the least log-odds and log-likelihood ratio of what is learned, words that a negation reaches.
 BEGINNINGS, LEAST_ODDS, LEAST_RATIO, REACH = range(5, 12), 2.0, 20.0, 3
+#: Threats and targets have lower odds than this without a target and at large.
+MOST_ODDS = 1.0
 THRESHOLD = 0.3
 
 #: Fixed values.
 INSULTS = "idiot moron imbecile stupid dumb loser scum bastard asshole bitch whore cunt retard vermin parasite idiotin dummkopf arschloch hurensohn crétin connard salaud imbécile idiota imbécil estúpido cabrón".split()
-THREATS = "kill murder strangle shoot stab hang umbringen töten erschießen tuer étrangler égorger matar asesinar".split()
+THREATS = "kill murder strangle shoot stab hang lynch behead slaughter umbringen töten erschießen tuer étrangler égorger matar asesinar".split()
 TARGETS = "you your u he she him her they them du dich dir ihr euch tu toi vous te usted ustedes vosotros".split()
-NEGATIONS = "not never no isn't nicht kein keine nie pas jamais aucun ningún nunca".split()
+NEGATIONS = "not never no cannot nicht kein keine nie pas jamais aucun ningún nunca".split()
 REPORTS = "said says quoted quote called reported alleged sagte sagt zitierte angeblich dit disait déclaré dijo dice".split()
+#: Separable verbs whose particle makes them a threat (Ich bringe dich um).
+VERBS, PARTICLES = "bringe bringst bringt bringen brachte".split(), "um".split()
 SEED_WEIGHT = 3.0
-#: Factor of an insult with a target in its clause.
-ADDRESSED = 1.25
+#: Factors of a denied and of a reported insult or threat, and of an insult with a target in its clause.
+DENIED, REPORTED, ADDRESSED = 0.3, 0.3, 1.25
 
 _CLAUSE = np.zeros(256, bool)
-_CLAUSE[[ord(c) for c in ".!?;:\n\r|"]] = True
+_CLAUSE[[ord(c) for c in ".!?;\n\r|"]] = True
 
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("n_clauses", T.LongType()), T.StructField("strongest", T.DoubleType()), T.StructField("rest", T.DoubleType())])
 #: How matched clauses become a score where nothing was learned: constant, strongest, sum of the rest, more than one.
@@ -92,18 +97,26 @@ class Transducer:
         return Transducer(step)
 
 
+def _separable(state, symbol):
+    if symbol == "v":
+        return "o", 1.0, 1
+    if symbol == "u":
+        return ("t" if state else "o"), 1.0, 0
+    return symbol, 1.0, state
+
+
 def _negation(state, symbol):
     if symbol == "n":
         return "o", 1.0, REACH
     if symbol in "it" and state:
-        return symbol, 0.6, state - 1
+        return symbol, DENIED, state - 1
     return symbol, 1.0, max(0, state - 1)
 
 
 def _report(state, symbol):
     if symbol == "r":
         return "o", 1.0, 1
-    return symbol, 0.6 if state and symbol in "it" else 1.0, state
+    return symbol, REPORTED if state and symbol in "it" else 1.0, state
 
 
 def _target(state, symbol):
@@ -121,7 +134,12 @@ def _matched(state, symbol):
     return symbol, 1.0 if symbol in "imh" else 0.0, state
 
 
-GRAMMAR = Transducer(_negation) @ Transducer(_report) @ Transducer(_target) @ Transducer(_matched)
+GRAMMAR = Transducer(_separable) @ Transducer(_negation) @ Transducer(_report) @ Transducer(_target) @ Transducer(_matched)
+
+
+def word_weight(events: list[tuple[int, str, float]], memo: dict) -> float:
+    """What the grammar is held against: the words' weights alone."""
+    return sum(w for _, symbol, w in events if symbol in "it")
 
 
 def clause_weight(events: list[tuple[int, str, float]], memo: dict) -> float:
@@ -146,11 +164,21 @@ def clause_weight(events: list[tuple[int, str, float]], memo: dict) -> float:
 
 
 def _lowered(texts: pa.Array):
-    data, offsets = C.text_buffers(pc.utf8_lower(texts))
+    """For row ranges: (first row, last row, bytes, words' starts and ends, first word of each row, prefix hash, clause of each
+    word). A text is cut where the bytes are hashed only in row ranges, so a long one is held whole."""
+    data, offsets = C.text_buffers(pc.utf8_lower(pc.replace_substring(texts, "’", "'")))
     for a, b in C.slices(offsets):
         part, off = C.sub(offsets, data, a, b)
         starts, ends, first = C.words(part, off, C.ALNUM)
-        yield a, b, part, starts, ends, first, C.prefix_hash(part)
+        row = np.searchsorted(first, np.arange(len(starts)), "right") - 1
+        yield a, b, part, starts, ends, first, C.prefix_hash(part), np.cumsum(_CLAUSE[part])[starts] + row if len(starts) else row
+
+
+def _denying(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words t of isn't, don't, can't ..., whose apostrophe parts words."""
+    t = np.flatnonzero((ends - starts == 1) & (starts >= 2))
+    at = starts[t]
+    return t[(part[at] == ord("t")) & (part[at - 1] == ord("'")) & (part[at - 2] == ord("n"))]
 
 
 def _hash(word: bytes) -> np.uint64:
@@ -171,23 +199,30 @@ def _features(starts, ends, h):
         yield _beginning(C.span_hash(h, starts[long], starts[long] + n), n), long
 
 
+FIXED = ((INSULTS, "i"), (THREATS, "t"), (TARGETS, "g"), (NEGATIONS, "n"), (REPORTS, "r"), (VERBS, "v"), (PARTICLES, "u"))
+
+
 class Lexicon:
-    def __init__(self, learned: list[tuple[int, float]], coefficients=DEFAULT):
-        known = {int(np.uint64(k & (2**64 - 1))): ("i", w) for k, w in learned}
-        for words, symbol in ((INSULTS, "i"), (THREATS, "t"), (TARGETS, "g"), (NEGATIONS, "n"), (REPORTS, "r")):
+    """learned: (feature, class, weight)."""
+
+    def __init__(self, learned: list[tuple[int, str, float]], coefficients=DEFAULT, weigh=clause_weight):
+        known = {int(np.uint64(k & (2**64 - 1))): (symbol, w) for k, symbol, w in learned}
+        for words, symbol in FIXED:
             for w in words:
-                known.setdefault(int(_hash(w.encode())), (symbol, SEED_WEIGHT if symbol in "it" else 0.0))
+                known.setdefault(int(_hash(w.encode())), (symbol, SEED_WEIGHT if symbol in "itu" else 0.0))
         self.keys = np.array(sorted(known), np.uint64)
         self.symbols = [known[int(k)][0] for k in self.keys]
         self.weights = np.array([known[int(k)][1] for k in self.keys])
-        self.counts = np.array([s in "it" for s in self.symbols])
-        self.coefficients = np.array(coefficients)
+        self.counts = np.array([s in "itv" for s in self.symbols])
+        self.denies = int(np.searchsorted(self.keys, _hash(b"not")))
+        self.coefficients, self.weigh = np.array(coefficients), weigh
         self.memo: dict = {}
 
     def scored(self, texts: pa.Array):
         """(score, matched clauses, strongest weight, sum of the other weights) for each text."""
-        for a, b, part, starts, ends, first, h in _lowered(texts):
-            where, which = [], []
+        for a, b, part, starts, ends, first, h, clauses in _lowered(texts):
+            denying = _denying(part, starts, ends)
+            where, which = [denying], [np.full(len(denying), self.denies)]
             for keys, word in _features(starts, ends, h):
                 at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
                 hit = self.keys[at] == keys
@@ -199,15 +234,13 @@ class Lexicon:
             best = np.ones(len(where), bool)
             best[1:] = where[1:] != where[:-1]
             where, which = where[best], which[best]
-            clause = np.cumsum(_CLAUSE[part])[starts[where]] if len(where) else where
+            clause = clauses[where]
             row = np.searchsorted(first, where, "right") - 1
-            _, clause = np.unique(np.stack([row, clause]), axis=1, return_inverse=True) if len(where) else (0, where)
-            clause = clause.ravel()
             keep = np.isin(clause, clause[self.counts[which]])
             found: dict[int, dict[int, list]] = {}
             for w, k, c, r in zip(where[keep].tolist(), which[keep].tolist(), clause[keep].tolist(), row[keep].tolist(), strict=True):
                 found.setdefault(r, {}).setdefault(c, []).append((w, self.symbols[k], float(self.weights[k])))
-            weights = [[x for x in (clause_weight(e, self.memo) for e in found.get(i, {}).values()) if x > 0] for i in range(b - a)]
+            weights = [[x for x in (self.weigh(e, self.memo) for e in found.get(i, {}).values()) if x > 0] for i in range(b - a)]
             n = [len(x) for x in weights]
             strongest = np.array([max(x, default=0.0) for x in weights])
             rest = np.array([sum(x) for x in weights]) - strongest
@@ -219,7 +252,7 @@ def _group_keys(batches):
     """doc_id and the smallest hash of five words."""
     for batch in batches:
         keys = []
-        for a, b, _, starts, ends, first, h in _lowered(C.column(batch, "text")):
+        for a, b, _, starts, ends, first, h, _ in _lowered(C.column(batch, "text")):
             w = C.span_hash(h, starts, ends)
             five = C.mix(w[:-4] + w[1:-3] * np.uint64(3) + w[2:-2] * np.uint64(5) + w[3:-1] * np.uint64(7) + w[4:] * np.uint64(11)) if len(w) > 4 else w[:0]
             for i in range(b - a):
@@ -228,59 +261,78 @@ def _group_keys(batches):
         yield pa.RecordBatch.from_arrays([C.column(batch, "doc_id"), pa.array(keys, pa.int64())], names=["doc_id", "key"])
 
 
+#: Where a feature is counted: anywhere, in clauses with a target, in those without, in clauses with a threat.
+WHERE = ("any", "to", "un", "by")
+
+
 def _counts(batches):
-    """feature, toxic documents and other documents, summed up per batch."""
+    """feature, and toxic (a) and other (b) documents that have it in each kind of clause, summed up per row range."""
+    targets, threats = (np.sort(np.array([_hash(w.encode()) for w in words])) for words in (TARGETS, THREATS))
     for batch in batches:
         toxic = C.column(batch, "toxic").to_numpy(zero_copy_only=False).astype(bool)
-        pairs = []
-        for a, _, _, starts, ends, first, h in _lowered(C.column(batch, "text")):
-            for keys, word in _features(starts, ends, h):
-                pairs.append(np.stack([keys.view(np.int64), np.searchsorted(first, word, "right") - 1 + a]))
-        if not pairs:
-            continue
-        pairs = np.concatenate(pairs, axis=1)
-        pairs = pairs[:, np.lexsort(pairs)]
-        fresh = np.ones(pairs.shape[1], bool)
-        fresh[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
-        pairs = pairs[:, fresh]
-        keys, inverse = np.unique(pairs[0], return_inverse=True)
-        hot = np.bincount(inverse, toxic[pairs[1]], len(keys)).astype(np.int64)
-        every = np.bincount(inverse, minlength=len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hot), pa.array(every - hot)], names=["feature", "a", "b"])
-
-
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[list[tuple[int, float]], list[float]]:
-    """(learned features with weights, coefficients), of bounded size."""
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna()
+        for a, _, _, starts, ends, first, h, clause in _lowered(C.column(batch, "text")):
+            if not len(starts):
+                continue
+            whole = C.span_hash(h, starts, ends)
+            to, by = (np.isin(clause, clause[np.isin(whole, known)]) for known in (targets, threats))
+            row = np.searchsorted(first, np.arange(len(starts)), "right") - 1 + a
+            keys, word = map(np.concatenate, zip(*_features(starts, ends, h), strict=True))
+            # A document's flags of a feature: one row for each, whose places are joined by "or".
+            order = np.lexsort((row[word], keys))
+            keys, word = keys[order], word[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (row[word[1:]] != row[word[:-1]])
+            at = np.flatnonzero(new)
+            flags = [np.ones(len(at), bool), *(np.logical_or.reduceat(x[word], at) for x in (to, ~to, by))]
+            keys, hot = keys[at], toxic[row[word[at]]]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = keys[1:] != keys[:-1]
+            own = np.cumsum(fresh) - 1
+            columns = [pa.array(np.bincount(own, x & y, own[-1] + 1).astype(np.int64)) for x in flags for y in (hot, ~hot)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[fresh].view(np.int64)), *columns], names=["feature", *_COUNTED])
+
+
+_COUNTED = [f"{x}_{w}" for w in WHERE for x in "ab"]
+
+
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, weigh=clause_weight) -> tuple[list[tuple[int, str, float]], list[float]]:
+    """(learned features with classes and weights, coefficients); of bounded size, since a feature is learned only if it occurs
+    in several documents of the bounded sample."""
+    known = C.persisted(labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna().distinct(), "toxicity-labels")
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = C.persisted(docs.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = C.persisted(texts, "toxicity-sample")
     groups = texts.mapInArrow(_group_keys, "doc_id long, key long").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     texts = texts.join(F.broadcast(groups.select("doc_id").distinct()), "doc_id")
     na, nb = texts.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     if not na or not nb:
         return [], list(DEFAULT)
-    counts = texts.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(_counts, "feature long, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    schema = "feature long, " + ", ".join(f"{c} long" for c in _COUNTED)
+    counts = texts.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(_counts, schema).groupBy("feature").agg(*(F.sum(c).cast("double").alias(c) for c in _COUNTED))
     n, p = float(na + nb), na / (na + nb)
-    x, y = F.col("a").cast("double"), F.col("b").cast("double")
-    odds = F.log((x + 0.5) / (na + 1)) - F.log((y + 3) / (nb + 6))
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    both = x + y
-    ratio = 2 * (term(x, both * p) + term(y, both * (1 - p)) + term(na - x, (n - both) * p) + term(nb - y, (n - both) * (1 - p)))
-    kept = counts.withColumn("w", odds).withColumn("r", ratio).filter((F.col("w") >= LEAST_ODDS) & (F.col("r") >= LEAST_RATIO)).orderBy(F.desc("r"), "feature").limit(FEATURES)
-    learned = [(r.feature, r.w) for r in kept.select("feature", "w").collect()]
-    # At most about SAMPLE rows of three numbers.
-    rows = score(texts.withColumn("doc_id", F.col("toxic").cast("long")), (learned, DEFAULT)).select("doc_id", "strongest", "rest", "n_clauses").toPandas()
-    return learned, _logistic(_terms(rows.strongest.to_numpy(), rows["rest"].to_numpy(), rows.n_clauses.to_numpy()), (rows.doc_id > 0).to_numpy().astype(float))
-
-
-def score(documents: DataFrame, model: tuple[list[tuple[int, float]], list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    for w in WHERE:
+        x, y = F.col(f"a_{w}"), F.col(f"b_{w}")
+        both = x + y
+        ratio = 2 * (term(x, both * p) + term(y, both * (1 - p)) + term(na - x, (n - both) * p) + term(nb - y, (n - both) * (1 - p)))
+        counts = counts.withColumn(f"odds_{w}", F.log((x + 0.5) / (na + 1)) - F.log((y + 3) / (nb + 6))).withColumn(f"ratio_{w}", ratio)
+    telling = lambda w: (F.col(f"odds_{w}") >= LEAST_ODDS) & (F.col(f"ratio_{w}") >= LEAST_RATIO)
+    kind = F.when(telling("to") & (F.col("odds_un") < MOST_ODDS) & (F.col("b_un") >= F.col("a_un")) & (F.col("b_un") > 0), "t").when(telling("any"), "i").when(telling("by") & (F.col("odds_any") < MOST_ODDS), "g")
+    weight = F.when(F.col("kind") == "t", F.col("odds_to")).when(F.col("kind") == "i", F.col("odds_any")).otherwise(0.0)
+    learned = [(r.feature, r.kind, r.w) for r in counts.withColumn("kind", kind).filter("kind is not null").select("feature", "kind", weight.alias("w")).collect()]
+    # At most about SAMPLE rows of four numbers.
+    rows = np.array(score(texts.withColumn("doc_id", F.col("toxic").cast("long")), (learned, DEFAULT), weigh=weigh).select("strongest", "rest", "n_clauses", "doc_id").collect(), float)
+    return learned, _logistic(_terms(*rows[:, :3].T), (rows[:, 3] > 0).astype(float))
+
+
+def score(documents: DataFrame, model: tuple[list[tuple[int, str, float]], list[float]], id_col: str = "doc_id", text_col: str = "text", weigh=clause_weight) -> DataFrame:
     """Per document: doc_id, score, n_clauses (matched), the weight of the strongest and the sum of the rest."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        lexicon = Lexicon(*shared.value)
+        lexicon = Lexicon(*shared.value, weigh)
         for batch in batches:
             columns = zip(*lexicon.scored(C.column(batch, "text")), strict=True) if len(batch) else [()] * 4
             kinds = (pa.float64(), pa.int64(), pa.float64(), pa.float64())

@@ -39,6 +39,25 @@ def test_decontaminate_blocks_and_odd_rows(spark):
     assert decontaminate.search(docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_many_blocks_as_sql(spark, sf_dir, duck, monkeypatch):
+    """The query over blocks of 2,000 characters, and items in pieces, gives the rows of the twin."""
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 7)
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    got = decontaminate.digest(decontaminate.search(docs, bench, block_chars=2000)).collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(queries.ORACLE_SQL["op1_decontaminate"]).fetchall())
+
+
+def test_decontaminate_tables_are_small():
+    """A block of 1 MB: arrays of less than 20 bytes for each of its characters."""
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(b"w%d" % i for i in rng.integers(0, 10**6, 1000)) for _ in range(130)]
+    names, (length,) = decontaminate.tables(([str(i) for i in range(130)], texts), 10)
+    size = sum(x.nbytes for x in vars(length).values() if isinstance(x, np.ndarray))
+    assert len(names) == 130 and size < 20 * sum(map(len, texts))
+    found = list(decontaminate.searched(pa.array([texts[7][:500].decode() + " end", "a b"]), names, [length]))
+    assert found[0][2] == ["7"] and len(found[0][1]) >= found[0][0] - 3 and not found[1][2]
+
+
 def test_decontaminate_brute_force(spark):
     rng = random.Random(1)
     word = lambda: rng.choice(["aa", "ab", "b", "cé", "d1"])
@@ -100,6 +119,56 @@ def test_toxicity_target_follows():
     assert [n for _, n, _, _ in toxicity.Lexicon([]).scored(texts)] == [1, 1, 0, 0]
 
 
+def test_toxicity_grammar_brute_force():
+    """The composed transducers against the rules written out, on random clauses."""
+    rng = random.Random(12)
+    for _ in range(3000):
+        places = sorted(rng.sample(range(14), rng.randrange(1, 7)))
+        events = [(p, s := rng.choice("itgnr"), float(rng.randrange(1, 5)) if s in "it" else 0.0) for p in places]
+        aimed = any(s == "g" for _, s, _ in events)
+        want = 0.0
+        for p, s, w in events:
+            if s in "it":
+                w *= toxicity.DENIED if any(x == "n" and 0 < p - q <= toxicity.REACH for q, x, _ in events) else 1
+                w *= toxicity.REPORTED if any(x == "r" and q < p for q, x, _ in events) else 1
+                want += w * (toxicity.ADDRESSED if aimed else 1) if s == "i" else w * aimed
+        assert toxicity.clause_weight(events, {}) == pytest.approx(want)
+
+
+def test_toxicity_clauses_of_texts():
+    def found(*texts):
+        return [round(s + r, 6) for _, _, s, r in toxicity.Lexicon([]).scored(pa.array(texts))]
+
+    plain, aimed = 3.0, 3.75
+    assert found("what an idiot", "You are an idiot", "you aren't an idiot", "you aren’t an idiot", "he said: you idiot") == [plain, aimed, aimed * 0.3, aimed * 0.3, aimed * 0.3]
+    assert found("I will kill you.", "I won't kill you", "kill the lights", "Ich bringe dich um", "Ich bringe das Buch", "um dich", "") == [3, 0.9, 0, 3, 0, 0, 0]
+
+
+def _sentences(rng, n):
+    """(text, toxic): the same words either way; only what the clause says of them differs."""
+    other = "the house green walks water seldom paper runs you are they them all should will now an a I he said called aren not dich das Buch process film tea".split()
+    filler = lambda: " ".join(rng.choice(other) for _ in range(rng.randrange(8, 20)))
+    toxic = ["you are an idiot", "you stupid loser", "I will kill you", "they should shoot them all", "Ich bringe dich um", "zorgle you now"]
+    clean = ["you aren't an idiot", "he said you are an idiot", "you are not a stupid loser", "he called him an idiot", "I will kill the process", "shoot the film", "Ich bringe das Buch um", "zorgle the tea now"]
+    return [(f"{filler()}. {rng.choice(toxic if i % 2 else clean)}. {filler()}", i % 2) for i in range(n)]
+
+
+def test_toxicity_grammar_wins(spark):
+    """Held out, the grammar tells negated, reported and untargeted clauses; the words alone can't. zorgle is learned as a
+    threat: it is toxic only with a target."""
+    rng = random.Random(13)
+    rows = [(i, t, y) for i, (t, y) in enumerate(_sentences(rng, 1200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    train, held = df.filter("doc_id < 800"), df.filter("doc_id >= 800")
+    right = {}
+    for weigh in (toxicity.clause_weight, toxicity.word_weight):
+        model = toxicity.fit(train, train, weigh=weigh)
+        assert (int(toxicity._hash(b"zorgle").view(np.int64)), "t") in {(k, s) for k, s, _ in model[0]}
+        got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(held, model, weigh=weigh).collect()}
+        right[weigh.__name__] = np.mean([got[d] == y for d, _, y in rows if d >= 800])
+    assert right["clause_weight"] >= 0.95 and right["word_weight"] <= 0.75
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     for known in (labels, labels.limit(0)):
