@@ -46,9 +46,9 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_KEYS = 1_000_000
 
 
-def small(keys: DataFrame) -> DataFrame:
+def small(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """keys, counted first and marked for broadcast if they are few; read twice, so they should be persisted."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return F.broadcast(keys) if keys.count() <= most else keys
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -180,7 +180,7 @@ def test_toxicity_odd_rows(spark):
 # 4
 def test_surrogates(spark):
     text = "Mail Ann.B@firm.com or ann.b@firm.com, +1 (916) 555-6549, card 4539 1488 0343 6467, 4539148803436467, 10.20.30.40, Frau Maria Schmidt and Frau Schmidt, г-жа Анна Иванова, token = \"abcdef0123456789\"."
-    out = pii.surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    out = pii.surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k1").first()
     for private in ("Ann.B", "ann.b", "firm.com", "555-6549", "0343", "10.20.30.40", "Schmidt", "Maria", "Иванова", "abcdef"):
         assert private not in out.text
     assert out.n_entities == 10
@@ -197,17 +197,71 @@ def test_surrogates_stay_distinct(spark):
     """One-letter addresses meet at once; all must end apart, and equal ones together."""
     rows = [(i, f"to {chr(97 + i % 26)}@x{i // 26}.org now") for i in range(260)]
     df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
-    assert pii.exceptions(pii.entities(df)) is not None
+    assert pii.exceptions(pii.entities(df), "k1") is not None
     got = {}
-    for r in pii.surrogates(df).collect():
+    for r in pii.surrogates(df, "k1").collect():
         got.setdefault(r.doc_id, set()).add(r.text)
     assert all(len(v) == 1 for v in got.values()) and len({next(iter(v)) for v in got.values()}) == 260
 
 
 def test_surrogates_odd_rows(spark):
-    got = {(r.doc_id, r.text, r.n_entities) for r in pii.surrogates(odd(spark, [(1, None, None, None), (2, "", None, None), (None, "a\x01b \x02a x", None, None)])).collect()}
+    got = {(r.doc_id, r.text, r.n_entities) for r in pii.surrogates(odd(spark, [(1, None, None, None), (2, "", None, None), (None, "a\x01b \x02a x", None, None)]), "k1").collect()}
     assert got == {(1, None, 0), (2, "", 0), (None, "a\x01b \x02a x", 0)}
-    assert pii.rewritten(odd(spark)).columns == odd(spark).columns and pii.rewritten(odd(spark, [])).count() == 0
+    assert pii.rewritten(odd(spark), "k1").columns == odd(spark).columns and pii.rewritten(odd(spark, []), "k1").count() == 0
+
+
+def _drawn(spark, key, *texts):
+    rows = pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_surrogates_leave_other_numbers(spark):
+    """Versions, ISBNs, card-like numbers without a check digit, and words after a secret's name stay."""
+    texts = ["see version 1.2.3.4", "ISBN 9783161484100", "9807915762804490", "no 4539148803436468", "the secret: everything", "x = 12.5.2020"]
+    assert _drawn(spark, "k1", *texts) == texts
+    secret = ["DB_PASSWORD=hunter2hunter2", "aws_secret_access_key = AKIA1234567890", '{"password": "open.sesame-now"}', "X-Api-Key: eyJhbGci.eyJzdWIi.c2ln9"]
+    for a, b, value in zip(secret, _drawn(spark, "k1", *secret), ("hunter2hunter2", "AKIA1234567890", "open.sesame-now", "eyJhbGci.eyJzdWIi.c2ln9"), strict=True):
+        assert value not in b and a.split(value)[0] == b[: len(a.split(value)[0])] and len(a) == len(b)
+
+
+def test_surrogates_keep_coreference_when_redrawn(spark, monkeypatch):
+    """Surnames that meet are drawn anew; each keeps one surrogate with and without given names, and domains stay distinct."""
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ("bd", "a", "a", "n"))  # a few dozen names
+    names = [a + b for a in ("Ad", "Be", "Co", "Da", "Ek") for b in ("ler", "mann", "stein", "witz")]
+    texts = [t for n in names for t in (f"Frau {n} came", f"Herr {n} left", f"Frau Maria {n} spoke")]
+    late = pii.exceptions(pii.entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "k1")
+    assert late.filter("kind = 'surname'").count() > 0 and late.filter(f"attempt >= {pii.WIDE}").count() > 0
+    out = _drawn(spark, "k1", *texts)
+    surnames = []
+    for i in range(0, len(texts), 3):
+        own = {out[i].split()[1], out[i + 1].split()[1], out[i + 2].split()[2]}
+        assert len(own) == 1
+        surnames += own
+    assert len(set(surnames)) == len(names) and not set(surnames) & set(names)
+    mails = [f"x@d{i}.org y@d{i}.org" for i in range(300)]
+    got = [t.split() for t in _drawn(spark, "k2", *mails)]
+    assert all(a.split("@")[1] == b.split("@")[1] and a != b for a, b in got) and len({a.split("@")[1] for a, _ in got}) == 300
+
+
+def test_surrogates_of_full_formats(spark):
+    """More entities than one draw can keep apart end distinct, longer ones if need be."""
+    rows = [f"it is 10.0.{i // 250}.{i % 250} here" for i in range(1500)] + [f"card {4}{i:011d}" for i in range(3)]
+    got = _drawn(spark, "k1", *rows)
+    assert len(set(got[:1500])) == 1500 and not set(got[:1500]) & set(rows)
+
+
+def test_surrogates_need_a_key(spark):
+    df = odd(spark)
+    with pytest.raises(TypeError):
+        pii.surrogates(df)
+    key = pii.session_key(spark)
+    assert key == pii.session_key(spark) and len(key) == 64
+    spark.conf.set(pii.KEY_SETTING, "own")
+    try:
+        assert pii.session_key(spark) == "own"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert _drawn(spark, "k1", "Mr Smith") != _drawn(spark, "k2", "Mr Smith")
 
 
 # 5
