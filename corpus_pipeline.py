@@ -28,7 +28,7 @@ def benchmark(spark, docs, sf_dir):
 
 
 def personal(spark, docs, sf_dir):
-    return pii.rewritten(docs)
+    return pii.rewritten(docs, pii.session_key(spark))
 
 
 def mix(spark, docs, sf_dir):
