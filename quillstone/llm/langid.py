@@ -6,12 +6,14 @@ zstandard stores what it cannot shorten); each chunk is compressed alone once pe
 fewest bytes in all wins. A text whose two best totals are close is rejected.
 
 Training text is a bounded sample, spread by a hash of the id over `SLOTS` slots per language, one piece of `PIECE`
-characters each; so a dictionary has at most SLOTS * PIECE characters, whatever the size of the corpus. At most
-`LANGUAGES` languages (by number of training rows) are learned.
+characters each; so a dictionary has at most SLOTS * PIECE characters, whatever the size of the corpus. All labelled
+languages are learned; where they are so many that all pieces would be over `PIECES`, each has as many fewer (`LEAST` at
+least).
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; with no training rows at all
-every text is `und`; rows without a language are not learned from; ties go to the language with most training rows, then to the one that sorts first; repeated
-rows are judged one by one; other columns are ignored.
+every text is `und`; rows without a language are not learned from; ties go to the language with most training rows, then
+to the one that sorts first; repeated rows are judged one by one; other columns are ignored. `accepted` keeps all columns
+and rows of texts whose language is told, and drops null, empty and letterless texts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-SLOTS, PIECE, LANGUAGES = 64, 512, 64
+SLOTS, PIECE, PIECES, LEAST = 64, 512, 1 << 15, 8
 #: Bytes compressed at a time; shorter texts than REPEAT bytes are repeated up to it.
 CHUNK, REPEAT = 32768, 160
 #: A text is rejected if the second best total is less than this share above the best.
@@ -48,8 +50,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     )
     start = F.greatest(F.lit(1), F.pmod(F.shiftright("h", 9), F.greatest(F.lit(1), F.length("text") - PIECE)).cast("int"))
     pieces = rows.select("lang", "h", F.pmod("h", F.lit(SLOTS)).alias("slot"), F.substring(F.col("text"), start, F.lit(PIECE)).alias("piece"))
-    slots = pieces.groupBy("lang", "slot").agg(F.min(F.struct("h", "piece")).alias("x"), F.count("*").alias("n"))
-    kept = slots.groupBy("lang").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("x")).alias("x")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    slots = C.persisted(pieces.groupBy("lang", "slot").agg(F.min(F.struct("h", "piece")).alias("x"), F.count("*").alias("n")), "language-pieces")
+    each = max(LEAST, min(SLOTS, PIECES // max(1, slots.select("lang").distinct().count())))
+    kept = slots.groupBy("lang").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list("x")), 1, each).alias("x")).orderBy(F.desc("n"), "lang")
     return {r.lang: normal(" ".join(x.piece for x in r.x)).encode() for r in kept.select("lang", "x").collect()}
 
 
