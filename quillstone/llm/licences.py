@@ -1,13 +1,15 @@
 """Licence scans with DataFrame functions only.
 
 Texts are cut into sentences and lines; those that speak of licences are headers, and all of a file's headers together are
-one more candidate. Candidates and templates become sparse TF-IDF vectors (document frequencies over all distinct
-candidates and templates) and are compared by cosine through a join on terms: a candidate meets only templates that share
-a term. The best template at or above LEAST is a file's own licence.
+one more candidate. Candidates, known by their MD5, and templates become sparse TF-IDF vectors (document frequencies over
+all distinct candidates and templates) and are compared by cosine through a join on terms: a candidate meets only templates
+that share a term. The best template at or above LEAST is a file's licence.
 
 A licence file is one with such a name (LICENSE, COPYING ...) or whose words are mostly headers. Every directory inherits
 from the nearest ancestor (or itself) that holds a licence file: the distinct directories are joined with the licence
-files' directories by their ancestor paths, the longest wins. Files without a licence of their own take their directory's.
+files' directories by their ancestor paths, the longest wins. What a file says itself and what it inherits are reported
+apart: `documents` has paths of source/doc_id only, where a document that consists of a header would else speak for all of
+its source.
 
 Equal candidates are compared once and equal directories joined once, so a common header or a directory with a third of
 all files costs no more than a rare one.
@@ -46,6 +48,8 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited.",),
 }
+#: One more template of each licence, by rule.
+TEMPLATES = {k: (*v, f"SPDX-License-Identifier: {k}") for k, v in TEMPLATES.items()}
 _TRIGGER = r"(?i)licen[cs]|copyright|copyleft|spdx|public domain|permission|redistribut|rights reserved|creative commons|free software"
 _FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright)[^/]*$"
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -66,37 +70,43 @@ def _weights(vectors: DataFrame, df: DataFrame) -> DataFrame:
     return w.join(w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "key")
 
 
+def _templates(spark) -> DataFrame:
+    """(key, text), a few dozen rows made in the JVM."""
+    rows = [F.struct(F.lit(f"{k}#{i}").alias("key"), F.lit(t).alias("text")) for k, v in TEMPLATES.items() for i, t in enumerate(v)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def compared(candidates: DataFrame) -> DataFrame:
-    """candidates: distinct texts. Per text with any shared term: text, licence, cosine of the best template."""
-    spark = candidates.sparkSession
-    templates = spark.createDataFrame([(f"{k}#{i}", t) for k, v in TEMPLATES.items() for i, t in enumerate(v)], "key string, text string")
+    """candidates: (key, text), distinct, written out. Per key with any shared term: key, licence, cosine of the best template."""
     terms = lambda df: df.select("key", F.explode(_words(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
-    own = terms(candidates.select(F.col("text").alias("key"), "text"))
-    given = terms(templates)
+    own, given = terms(candidates), terms(_templates(candidates.sparkSession))
     n = candidates.count() + sum(map(len, TEMPLATES.values()))
     both = own.select("term").unionAll(given.select("term"))
-    df = both.groupBy("term").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
+    # Written out, so that a join with it may be split at a term that most candidates have.
+    df = C.persisted(both.groupBy("term").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf")), "licence-terms")
     # The templates are a fixed few hundred rows.
     t = F.broadcast(_weights(given, df).select(F.col("key").alias("template"), "term", F.col("w").alias("tw"), F.col("norm").alias("tn")))
     s = _weights(own, df)
     cosine = s.join(t, "term").groupBy("key", "template").agg((F.sum(F.col("w") * F.col("tw")) / F.first(F.col("norm")) / F.first(F.col("tn"))).alias("c"))
     best = cosine.select("key", F.round("c", 6).alias("cosine"), F.substring_index("template", "#", 1).alias("licence"))
-    return best.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("b")).select(F.col("key").alias("text"), "b.licence", (-F.col("b.less")).alias("cosine"))
+    return best.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("b")).select("key", "b.licence", (-F.col("b.less")).alias("cosine"))
 
 
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """Per file: doc_id, path, own licence and cosine, n_headers, licence_dir and inherited licence, licence (own or inherited)."""
+    """Per file: doc_id, path, licence (its own) and cosine, n_headers, licence_dir and inherited_licence of the nearest one."""
     rows = files.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
     rows = rows.withColumn("dir", F.regexp_replace("path", r"(^|/)[^/]*$", ""))
     headed = rows.filter(F.col("text").rlike(_TRIGGER)).select("doc_id", "path", "dir", F.filter(_pieces(F.col("text")), lambda x: x.rlike(_TRIGGER)).alias("headers"), F.regexp_count(F.translate("text", _BIG, _SMALL), F.lit(_WORD)).alias("n_words"))
     headed = C.persisted(headed.withColumn("candidates", F.array_distinct(F.concat("headers", F.array(F.array_join("headers", "\n"))))), "licence-headers")
-    candidates = headed.select(F.explode("candidates").alias("text")).distinct()
-    known = compared(candidates).filter(F.col("cosine") >= LEAST)
-    each = headed.select("doc_id", "path", F.explode("candidates").alias("text")).join(known, "text")
+    key = F.unhex(F.md5("text")).alias("key")
+    candidates = headed.select(F.explode("candidates").alias("text")).select(key, "text").groupBy("key").agg(F.min("text").alias("text"))
+    known = C.persisted(compared(C.persisted(candidates, "licence-candidates")).filter(F.col("cosine") >= LEAST), "licence-known")
+    each = headed.select("doc_id", "path", F.explode("candidates").alias("text")).select("doc_id", "path", key).join(known, "key")
     own = each.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("b")).select("doc_id", "path", F.col("b.licence").alias("own_licence"), (-F.col("b.less")).alias("cosine"))
     sizes = headed.withColumn("n_headers", F.size("headers").cast("long")).withColumn("in_headers", F.aggregate("headers", F.lit(0), lambda a, x: a + F.regexp_count(F.translate(x, _BIG, _SMALL), F.lit(_WORD))))
     sizes = sizes.groupBy("doc_id", "path", "dir").agg(F.max("n_headers").alias("n_headers"), F.max(F.col("path").rlike(_FILE) | (F.col("in_headers") >= MOSTLY * F.col("n_words"))).alias("is_licence_file"))
-    own = own.join(sizes, ["doc_id", "path"], "right")
+    found = own.select(F.col("doc_id").alias("f_doc_id"), F.col("path").alias("f_path"), "own_licence", "cosine")
+    own = sizes.join(found, F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("path") == F.col("f_path")), "left").drop("f_doc_id", "f_path")
     holders = own.filter("is_licence_file and own_licence is not null").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "own_licence", "path")).alias("b")).select(F.col("dir").alias("licence_dir"), F.col("b.own_licence").alias("inherited"))
     folders = rows.select("dir").distinct()
     steps = F.split("dir", "/", -1)
@@ -105,7 +115,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     nearest = nearest.groupBy("dir").agg(F.max(F.struct(F.length("licence_dir").alias("n"), "licence_dir", "inherited")).alias("b")).select("dir", "b.licence_dir", "b.inherited")
     own = own.select(*(F.col(c).alias(f"o_{c}") for c in ("doc_id", "path")), "own_licence", "cosine", "n_headers")
     out = rows.drop("text").join(own, F.col("doc_id").eqNullSafe(F.col("o_doc_id")) & (F.col("path") == F.col("o_path")), "left").join(nearest, "dir", "left")
-    return out.select("doc_id", "path", "own_licence", "cosine", F.coalesce("n_headers", F.lit(0)).cast("long").alias("n_headers"), "licence_dir", F.col("inherited").alias("inherited_licence"), F.coalesce("own_licence", "inherited").alias("licence"))
+    return out.select("doc_id", "path", F.col("own_licence").alias("licence"), "cosine", F.coalesce("n_headers", F.lit(0)).cast("long").alias("n_headers"), "licence_dir", F.col("inherited").alias("inherited_licence"))
 
 
 def op8_licences(spark, sf_dir):
@@ -140,8 +150,7 @@ o AS (SELECT c.doc_id, c.path, c.dir, e.licence AS own_licence, e.cosine, CAST(l
              regexp_matches(c.path, '{_FILE}') OR list_sum(list_transform(headers, lambda x: len(regexp_extract_all({_LOW.format('x')}, '{_WORD}')))) >= {MOSTLY} * n_words AS is_licence_file
       FROM c LEFT JOIN e ON c.doc_id IS NOT DISTINCT FROM e.doc_id AND c.path = e.path),
 p AS (SELECT dir, own_licence AS inherited FROM o WHERE is_licence_file AND own_licence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, own_licence, path) = 1)
-SELECT f.doc_id, f.path, o.own_licence, o.cosine, coalesce(o.n_headers, 0) AS n_headers,
-       CASE WHEN p.dir IS NOT NULL THEN p.dir WHEN r.dir IS NOT NULL THEN r.dir END AS licence_dir, coalesce(p.inherited, r.inherited) AS inherited_licence,
-       coalesce(o.own_licence, p.inherited, r.inherited) AS licence
+SELECT f.doc_id, f.path, o.own_licence AS licence, o.cosine, coalesce(o.n_headers, 0) AS n_headers,
+       CASE WHEN p.dir IS NOT NULL THEN p.dir WHEN r.dir IS NOT NULL THEN r.dir END AS licence_dir, coalesce(p.inherited, r.inherited) AS inherited_licence
 FROM f LEFT JOIN o ON f.doc_id IS NOT DISTINCT FROM o.doc_id AND f.path = o.path LEFT JOIN p ON f.dir = p.dir LEFT JOIN p AS r ON r.dir = ''"""
 }
