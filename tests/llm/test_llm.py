@@ -1,6 +1,8 @@
 """The text-preparation operators: DuckDB twins, brute force, round trips, held-out accuracy and odd inputs."""
 
+import cmath
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -92,6 +94,25 @@ def test_language_odd_rows(spark):
     assert langid.identify(odd(spark), {}).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_learns_all_languages(spark):
+    """A hundred languages of their own letters; with fewer pieces for each, all are told."""
+    rng = random.Random(2)
+    alphabets = [[chr(x) for x in rng.sample(range(0x4E00, 0x9000), 12)] for _ in range(100)]
+    text = lambda k: " ".join("".join(rng.choice(alphabets[k]) for _ in range(4)) for _ in range(60))
+    known = langid.fit(spark.createDataFrame([(i, text(i % 100), f"l{i % 100}") for i in range(400)], "doc_id long, text string, lang string"))
+    assert len(known) == 100
+    got = langid.identify(spark.createDataFrame([(k, text(k)) for k in range(100)], "doc_id long, text string"), known).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id}" for r in got) >= 98
+
+
+def test_language_accepted_odd_rows(spark):
+    known = langid.fit(odd(spark, [(i, t, "s", x) for i, (t, x) in enumerate([("alpha beta gamma delta " * 40, "en"), ("eins zwei drei vier " * 40, "de")] * 3)]))
+    df = odd(spark, [(1, "alpha beta gamma delta " * 20, None, None), (2, None, None, None), (3, "", "s", "en"), (None, "eins zwei drei vier " * 20, "s", "en"), (4, "12 34", "s", "en"), (1, "alpha beta gamma delta " * 20, None, None)])
+    got = langid.accepted(df, known)
+    assert got.columns == df.columns and sorted((r.doc_id for r in got.collect()), key=repr) == [1, 1, None]
+    assert langid.accepted(odd(spark, []), known).count() == 0 and langid.accepted(df, {}).count() == 0
+
+
 # 3
 def test_toxicity_held_out(spark):
     rows = queries.QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out")
@@ -307,7 +328,55 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
+def test_chat_budget(spark):
+    """A long system turn is held once only, windows keep the budget or say so, and repetition is bounded."""
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(1, 0, "system", words(600))] + [(1, i, "user" if i % 2 else "assistant", words(16)) for i in range(1, 200)]
+    rows += [(2, 0, "system", words(100))] + [(2, i, "user" if i % 2 else "assistant", words(900 if i == 5 else 30)) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.windows(df).collect()
+    for w in out:
+        n = sum(len(t.split("<|text|>")[1].split()) + chat.OVERHEAD for t in w.formatted.split("<|end|>")[:-1])
+        assert w.n_tokens == n and w.over_budget == (n > chat.BUDGET)
+    first = [w for w in out if w.conv_id == 1]
+    assert [w.over_budget for w in sorted(first, key=lambda w: w.window)] == [True] + [False] * (len(first) - 1)
+    assert sum(len(w.formatted) for w in first) < 2.2 * sum(len(t) + 40 for c, _, _, t in rows if c == 1)
+    assert sum(w.over_budget for w in out if w.conv_id == 2) <= 2 and all(words(100) in w.formatted for w in out if w.conv_id == 2)
+
+
 # 7
+def test_media_as_sql_and_by_hand(spark, sf_dir, duck):
+    """What SQL can tell of the stored files, and the fingerprint of some by sums and loops."""
+    got = {r.doc_id: r for r in queries.QUERIES["op7_media"](spark, sf_dir).collect()}
+    pad = "greatest(64, 64 * CAST(ceil(octet_length(encode(coalesce(text, ''))) / 64.0) AS BIGINT))"
+    hexed = f"hex(encode(coalesce(text, ''))) || repeat('00', {pad} - octet_length(encode(coalesce(text, ''))))"
+    little = lambda x: f"printf('%02X%02X%02X%02X', ({x}) & 255, ({x}) >> 8 & 255, ({x}) >> 16 & 255, ({x}) >> 24 & 255)"
+    header = f"hex(encode('RIFF')) || {little('n + 36')} || hex(encode('WAVEfmt ')) || '1000000001000100401F0000401F000001000800' || hex(encode('data')) || {little('n')}"
+    sql = f"SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS b, n, sha256(unhex(h)) AS payload, n + 44 AS m, sha256(unhex({header} || h)) AS media FROM (SELECT doc_id, text, {pad} AS n, {hexed} AS h FROM documents)"
+    rows = duck.sql(sql).fetchall()
+    assert len(rows) == len(got)
+    for d, b, n, payload, m, stored in rows:
+        assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256, got[d].media_bytes, got[d].media_sha256) == (b, n, payload, m, stored)
+    for text in ("", "the and thing", "Zürich ist schön. " * 30):
+        raw = text.encode()
+        samples = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        n = -(-max(0, len(samples) - 128) // 64) + 1
+        edges, power, best = [1, 17, 33, 49, 65], [], []
+        window = [0.5 - 0.5 * math.cos(2 * math.pi * i / 127) for i in range(128)]
+        for f in range(n):
+            x = [v - 128 for v in samples[f * 64 : f * 64 + 128]]
+            x += [0] * (128 - len(x))
+            mean = sum(x) / 128
+            s = [abs(sum((v - mean) * w * cmath.exp(-2j * math.pi * k * i / 128) for i, (v, w) in enumerate(zip(x, window, strict=True)))) for k in range(65)]
+            best.append([max(range(edges[i], edges[i + 1]), key=lambda k: s[k]) for i in range(4)])  # noqa: B023
+            power.append([s[k] for k in best[-1]])
+        level = sum(map(sum, power)) / (4 * n)
+        peak = [[p > level and p > 1e-3 for p in row] for row in power]
+        want = [(t << 32) | (best[t][b] << 20) | (best[t][b + 1] << 8) for t in range(n) for b in range(3) if peak[t][b] and peak[t][b + 1]]
+        want += [(t << 32) | (best[t][b] << 20) | (best[t + d][b] << 8) | d for d in (1, 2) for t in range(n - d) for b in range(4) if peak[t][b] and peak[t + d][b]]
+        assert sorted(want) == media.fingerprint(samples).tolist()
+
+
 def test_media(spark):
     rows = media.media(odd(spark)).collect()
     for r, (_, text) in zip(rows, [(x.doc_id, x.text) for x in odd(spark).collect()], strict=True):
@@ -331,11 +400,19 @@ def test_peaks_find_a_tone():
 def test_licences(spark):
     rows = [(1, "a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), (2, "a/b/x.py", "x"), (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0.\n" + "x = f(y)\n" * 20), (4, "c/z.py", None), (5, "LICENSE", "This is free and unencumbered software released into the public domain."), (6, None, ""), (2, "a/b/x.py", "x")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, path string, text string, dir string")
-    got = sorted((r.doc_id, r.licence, r.licence_dir) for r in licences.scan(df).collect())
-    assert got == [(1, "MIT", "a"), (2, "MIT", "a"), (2, "MIT", "a"), (3, "Apache-2.0", "a"), (4, "Unlicense", ""), (5, "Unlicense", ""), (6, "Unlicense", "")]
+    got = sorted((r.doc_id, r.licence, r.inherited_licence, r.licence_dir) for r in licences.scan(df).collect())
+    assert got == [(1, "MIT", "MIT", "a"), (2, None, "MIT", "a"), (2, None, "MIT", "a"), (3, "Apache-2.0", "MIT", "a"), (4, None, "Unlicense", ""), (5, "Unlicense", "Unlicense", ""), (6, None, "Unlicense", "")]
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licences_headers(spark):
+    """SPDX lines, null paths, texts and ids, and a very long file of headers."""
+    long = "x = 1\n# This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.\n" * 20_000
+    rows = [(1, "a/x.py", "# SPDX-License-Identifier: Apache-2.0\nx = 1\ny = 2\nz = 3"), (2, None, None), (None, "b/y.py", "// SPDX-License-Identifier: GPL-3.0\n" + "f(x)\n" * 9), (3, "c/z", long), (4, "d/w", "a licence to kill time")]
+    got = {r.doc_id: (r.licence, r.n_headers, r.inherited_licence) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("Apache-2.0", 1, None), 2: (None, 0, None), None: ("GPL-3.0", 1, None), 3: ("MPL-2.0", 20_000, "MPL-2.0"), 4: (None, 1, None)}
+
+
 # 9
 def test_suffix_dedup_brute_force(spark):
     rng = random.Random(3)
@@ -570,3 +647,32 @@ def test_pipeline(spark, sf_dir):
     taken = {(r.doc_id, r.copies) for r in mixing.plan(kept).filter("copies > 0").collect()}
     assert {(r.doc_id, r.n) for r in mixed.groupBy("doc_id").agg(F.max("copy").alias("n")).collect()} == taken
     assert sorted(r.doc_id for r in P.run(spark, sf_dir).collect()) == sorted(r.doc_id for r in mixed.collect())
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty, letterless and repeated rows, an empty table and columns of clashing names through every
+    stage, in the order of the pipeline."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda "
+    rows = [(1, base * 3 + "Mr Smith, a.b@c.org", "s", "en"), (1, base * 3 + "Mr Smith, a.b@c.org", "s", "en"), (2, None, None, None), (3, "", "s", "en"), (None, base * 3 + "Mr Smith, a.b@c.org", None, None), (5, "12 34", "t", "en")]
+    rows += [(6, "eins zwei drei vier fuenf sechs sieben acht neun zehn elf zwoelf", None, "de"), (7, "alpha one two three four five six seven eight nine ten beta gamma", "s", "en"), (None, "eins zwei drei vier fuenf sechs sieben acht", "u", "de")]
+    rows += [(10 + i, base + f"mu nu xi no{i} omicron pi{i}", "s", "en") for i in range(4)]
+    for given in (rows, []):
+        kept = odd(spark, given)
+        names = kept.columns
+        for name, stage in P.STAGES:
+            kept = P.common.persisted(stage(spark, kept, str(tmp_path)), f"odd-{name}")
+            assert kept.columns == [*(n for n in names if n != "copy"), *(["copy"] if name == "mixing" else [])]
+            ids = sorted((r.doc_id for r in kept.collect()), key=repr)
+            if not given:
+                assert ids == []
+            elif name == "language":  # null, empty and letterless texts go
+                assert not {2, 3, 5} & set(ids) and ids.count(1) == 2
+            elif name == "near_copies":  # of repeated rows, and of those with the same text but no id, one
+                assert ids.count(1) == 1 and kept.filter("text like '%Smith%'").count() == 1
+            elif name == "benchmark":
+                assert 7 not in ids and 1 in ids
+            elif name == "personal":
+                assert kept.filter("text like '%Smith%' or text like '%a.b@c.org%'").count() == 0
