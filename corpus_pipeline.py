@@ -5,6 +5,11 @@ near_copies  one document of each group of near copies stays (five-word shingles
 benchmark    documents with a passage of the benchmark go
 personal     personal data becomes surrogates; n_chars follows the text
 mixing       sources are brought to their target weights; a document appears once for each copy taken, numbered by `copy`
+
+Defined results, by stage: null, empty and letterless texts go in the first; of rows that repeat an id and its text one stays
+in the second, and rows without an id are matched like others and stay only where their group has none with one; null ids,
+sources and other columns go through all stages; an empty table gives empty ones; other columns stay as they are, whatever
+their names, but for n_chars, which follows the text, and `copy`, which the last stage sets.
 """
 
 from __future__ import annotations
