@@ -69,8 +69,8 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first:last], offsets.astype(np.int64) - first
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20):
-    """Row ranges of at most `most` bytes, a longer text alone, so that temporary arrays stay small."""
+def slices(offsets: np.ndarray, most: int = 1 << 18):
+    """Row ranges of at most `most` bytes, a longer text alone, so that temporary arrays stay small and in the cache."""
     n, at = len(offsets) - 1, 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1

@@ -41,8 +41,8 @@ LENGTH, GRAM = 100, 32
 HOT = 4096
 #: Bytes of one BWT.
 TEXT_BYTES = 1 << 20
-#: Bytes of documents cut into segments at a time; temporary arrays take some 150 bytes for each.
-SLICE = 1 << 20
+#: Bytes of documents cut into segments at a time; temporary arrays take some 150 bytes for each and fit a core's cache.
+SLICE = 1 << 17
 _VALUES = C.mix(np.arange(256) + 0x5A17)
 
 _SEGMENTS = "doc_id long, variant long, anchor long, seg long, a int, n int"
@@ -90,11 +90,12 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | padded[i : i + n]
     known = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if known >= depth:
             return order
+        ordered = key[order]
         new = np.ones(n, np.uint64)
-        new[1:] = key[order][1:] != key[order][:-1]
+        new[1:] = ordered[1:] != ordered[:-1]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(new)
         later = np.zeros(n, np.uint64)
@@ -113,13 +114,13 @@ class WaveletMatrix:
             is_zero = (rest >> b) & 1 == 0
             self.zeros.append(np.concatenate([[0], np.cumsum(is_zero)]).astype(np.int32))
             rest = np.concatenate([rest[is_zero], rest[~is_zero]])
-        self.start = np.zeros(1 << self.bits, np.int64)
+        self.start = np.zeros(1 << self.bits, np.int32)
         values, at = np.unique(rest, return_index=True)
         self.start[values] = at
 
     def symbols(self, lo: np.ndarray, hi: np.ndarray):
         """For all intervals: (symbol, its rank before lo, its rank before hi), present symbols only."""
-        symbol = np.zeros(len(lo), np.int64)
+        symbol = np.zeros(len(lo), np.int32)
         for zeros in self.zeros:
             l0, h0 = zeros[lo], zeros[hi]
             l1, h1 = zeros[-1] + lo - l0, zeros[-1] + hi - h0
@@ -134,10 +135,10 @@ def boundaries(codes: np.ndarray, order: np.ndarray, n_symbols: int, length: int
     last code of a string if it occurs in it at all."""
     n = len(codes)
     matrix = WaveletMatrix(codes[order - 1], n_symbols)  # the code before each suffix: the Burrows-Wheeler transform
-    before = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=1 << matrix.bits))])
+    before = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=1 << matrix.bits))]).astype(np.int32)
     fixed = np.zeros(n + 1, bool)
     fixed[0] = fixed[n] = True
-    lo, hi = np.array([0], np.int64), np.array([n], np.int64)
+    lo, hi = np.array([0], np.int32), np.array([n], np.int32)  # half the room of int64: this loop is most of the work
     for common in range(length):  # strings of `common` codes become strings of one more
         symbol, lo, hi = matrix.symbols(lo, hi)
         if common:
