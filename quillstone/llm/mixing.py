@@ -11,11 +11,12 @@ the words taken are near the target; one offset per source is added and a copy i
 
 The prefix sum is distributed: documents are counted by cell (source, size class, part of the hash); prefix sums over the
 cells' counts (at most CLASSES * PARTS a source) give each cell its start, and ranks are taken inside cells. So a source
-with a third of all rows, or thousands of copies of one text, is dealt over many tasks.
+with a third of all rows, or thousands of copies of one text, is dealt over many tasks, and rows are shuffled once, by cell.
+Targets are found by windows over one row a source: sources are meant to be named collections, not single hosts.
 
 Defined results: a null or blank text has size 0 and is taken like its neighbours; a source of total size 0 has target 0
-and nothing is taken; a null source is a source of its own; rows with the same id are ranked one after the other; a null
-id is hashed as empty text; an empty table gives an empty result; other columns are ignored by `plan` and kept by `mixed`
+and nothing is taken; a null source is a source of its own; rows with the same id are ranked one after the other, by their texts' hashes; a
+null id is hashed as empty text; an empty table gives an empty result; other columns are ignored by `plan` and kept by `mixed`
 unless they bear the name of an added column, which replaces them.
 """
 
@@ -45,6 +46,8 @@ def _sized(documents: DataFrame, id_col: str, text_col: str, source_col: str) ->
     return (
         documents.withColumn("size", size)
         .withColumn("__source", F.col(source_col))
+        .withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")))  # never null, so that joins and windows share a partitioning
+        .withColumn("__text_hash", F.xxhash64(text_col))
         .withColumn("__hash", F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
         .withColumn("__class", F.expr(CLASS.format(text="string")))
         .withColumn("__part", F.substring("__hash", 1, DIGITS))
@@ -52,7 +55,7 @@ def _sized(documents: DataFrame, id_col: str, text_col: str, source_col: str) ->
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """sizes: (__source, source_size). Adds weight and target. One row a source, so windows over all of them are small."""
+    """sizes: (__key, __source, source_size). Adds the target. One row a source, so windows over all of them are small."""
     order = Window.orderBy(F.col("__source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(order), F.lit(3))
     weighed = sizes.withColumn("weight", F.when(turn == 1, 5).when(turn == 2, 2).otherwise(1).cast("bigint"))
@@ -72,24 +75,22 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
     level = F.min(F.when(F.col("__fits"), F.struct("__at", F.col("__level").alias("level")))).over(every)["level"]
     capped = (F.col("source_size") * CAP).cast("double")
-    return leveled.withColumn("__final", level).select("__source", "source_size", F.when(F.col("__final").isNull(), capped).otherwise(F.least(capped, F.col("__final") * F.col("weight"))).alias("target"))
+    return leveled.withColumn("__final", level).select("__key", "__source", "source_size", F.when(F.col("__final").isNull(), capped).otherwise(F.least(capped, F.col("__final") * F.col("weight"))).alias("target"))
 
 
 def _planned(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     docs = _sized(documents, id_col, text_col, source_col)
-    cells = docs.groupBy("__source", "__class", "__part").agg(F.count("*").alias("__n"), F.sum("size").alias("__size"))
-    within = Window.partitionBy("__source").orderBy("__class", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = docs.groupBy("__key", "__source", "__class", "__part").agg(F.count("*").alias("__n"), F.sum("size").alias("__size"))
+    within = Window.partitionBy("__key").orderBy("__class", "__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    sources = targets(cells.groupBy("__source").agg(F.sum("__size").alias("source_size")))
+    sources = targets(cells.groupBy("__key", "__source").agg(F.sum("__size").alias("source_size")))
     rates = sources.withColumn("__rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(CAP)))).otherwise(0.0)).withColumn(
-        "__offset", _unit(F.md5(F.concat(F.lit(SEED + ":offset:"), F.coalesce(F.concat(F.lit("="), F.col("__source")), F.lit("")))))
+        "__offset", _unit(F.md5(F.concat(F.lit(SEED + ":offset:"), F.col("__key"))))
     )
-    starts = starts.alias("c").join(rates.alias("r"), F.col("c.__source").eqNullSafe(F.col("r.__source"))).select("c.*", "source_size", "target", "__rate", "__offset")
-    starts = starts.select(*(F.col(x).alias(f"{x}_") for x in ("__source", "__class", "__part")), "__before", "source_size", "target", "__rate", "__offset")
+    starts = starts.join(rates.drop("__source"), "__key").select("__key", "__class", "__part", "__before", "source_size", "target", "__rate", "__offset")
     docs = docs.drop("__before", "source_size", "target", "__rate", "__offset")
-    cell = Window.partitionBy("__source", "__class", "__part").orderBy("__hash", F.col(id_col), F.col("size"))
-    ranked = docs.withColumn("__rank", F.row_number().over(cell))
-    joined = ranked.join(starts, F.col("__source").eqNullSafe(F.col("__source_")) & (F.col("__class") == F.col("__class_")) & (F.col("__part") == F.col("__part_")))
+    cell = Window.partitionBy("__key", "__class", "__part").orderBy("__hash", F.col(id_col), F.col("size"), "__text_hash")
+    joined = docs.withColumn("__rank", F.row_number().over(cell)).join(starts, ["__key", "__class", "__part"])
     k = F.col("__before") + F.col("__rank")
     crossed = lambda n: F.floor(n.cast("double") * F.col("__rate") + F.col("__offset"))
     return joined.withColumn("copies", (crossed(k) - crossed(k - 1)).cast("bigint"))
