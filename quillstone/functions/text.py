@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Arabic letters and digits that count as one, and marks that are dropped.
-FOLDED = {"أ": "ا", "إ": "ا", "آ": "ا", "ى": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي", "٠": "0", "١": "1", "٢": "2", "٣": "3", "٤": "4", "٥": "5", "٦": "6", "٧": "7", "٨": "8", "٩": "9"}
-MARKS = r"[̀-ͯـً-ٰٟ]"
+#: Letters, digits and marks of punctuation that count as one; a lengthening stroke is a space.
+FOLDED = {"أ": "ا", "إ": "ا", "آ": "ا", "ى": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي"}
+FOLDED |= {d: str(i) for digits in ("٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹") for i, d in enumerate(digits)}
+FOLDED |= {"،": ",", "؛": ";", "؟": "?", "ـ": " "}
 ARABIC = r"[؀-ۿݐ-ݿ]"
+#: Fixed value: natural keys such as ORD-12-7.
 KEY = r"\b[A-Za-z]{1,6}-\d[\d-]*"
 
 
@@ -27,10 +29,11 @@ def fold_camel(x: Column) -> Column:
 
 
 def normalized(x: Column, compatible=None) -> Column:
-    """Marks dropped, letters and digits folded, punctuation to spaces, lower case. `compatible` applies NFKC first."""
-    x = F.regexp_replace(compatible(x) if compatible else x, MARKS, "")
+    """Controls and marks dropped, lower case, letters and digits folded, punctuation and spaces to one space; symbols stay.
+    `compatible` applies NFKC first."""
+    x = F.lower(F.regexp_replace(compatible(x) if compatible else x, r"[\p{Cc}\p{Mn}]", ""))
     x = F.translate(x, "".join(FOLDED), "".join(FOLDED.values()))
-    return F.lower(squeezed(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
+    return F.trim(F.regexp_replace(x, r"[\p{P}\p{Z}]+", " "))
 
 
 def nfkc():

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.sources.tables import FOREIGN_KEYS, PRIMARY_KEYS, Tables
+from quillstone.sources.tables import FOREIGN_KEYS, Tables
 
 LOOKUP_ROWS, ENUM_VALUES = 500, 12
 REDACTED = "[REDACTED]"
@@ -19,7 +21,8 @@ def _rows(t: Tables, rows: list, schema: str) -> DataFrame:
 
 
 def tables(t: Tables, like: str = "", hidden: frozenset[str] = frozenset()) -> DataFrame:
-    names = sorted(n for n in PRIMARY_KEYS if like.lower() in n and n not in hidden)
+    """The tables that the folder holds, listed through Hadoop's file system, so in any store that Spark reads."""
+    names = sorted(n for n in t.names() if like.lower() in n and n not in hidden)
     return _rows(t, [(n,) for n in names], "table_name string")
 
 
@@ -45,10 +48,37 @@ def schema_diff(t: Tables, known: dict[str, list[str]], names: list[str]) -> Dat
     return _rows(t, rows, "change string, table_name string, column_name string")
 
 
-def drift(t: Tables, referenced: list[tuple[str, str]]) -> DataFrame:
-    """References to columns that do not exist."""
-    live = {n: set(getattr(t, n).columns) for n in {r[0] for r in referenced} if n in PRIMARY_KEYS}
-    return _rows(t, [r for r in referenced if r[1] not in live.get(r[0], ())], "table_name string, column_name string")
+_CTE = re.compile(r"(?:\bwith\b(?:\s+recursive)?|,)\s*(\w+)\s*(?:\([^()]*\)\s*)?as\s*\(", re.I)
+_SOURCE = re.compile(r"\b(?:from|join)\s+(?:\w+\.)?[`\[\"]?(\w+)[`\]\"]?(?:\s+(?:as\s+)?(?!on\b|where\b|join\b|left\b|right\b|inner\b|full\b|cross\b|group\b|order\b|having\b|limit\b|union\b|using\b)(\w+))?", re.I)
+_QUALIFIED = re.compile(r"\b(\w+)\.[`\[\"]?(\w+)")
+
+
+def drift(t: Tables, stored: dict[str, str]) -> DataFrame:
+    """stored: id to SQL. Tables after FROM or JOIN, and qualified columns of tables that exist, which are not there (any more).
+    Names of common table expressions are none; unqualified columns can't be told."""
+    known, found = {}, set()
+
+    def live(name: str) -> set[str] | None:
+        if name not in known:
+            known[name] = {c.lower() for c in getattr(t, name).columns} if name in t.names() else None
+        return known[name]
+
+    for key, sql in stored.items():
+        text = re.sub(r"'(?:[^']|'')*'", "''", sql)
+        own = {m.lower() for m in _CTE.findall(text)}
+        alias = {}
+        for table, short in _SOURCE.findall(text):
+            table = table.lower()
+            if table in own:
+                continue
+            if live(table) is None:
+                found.add((key, table, None))
+            alias |= {table: table} | ({short.lower(): table} if short else {})
+        for short, column in _QUALIFIED.findall(text):
+            table = alias.get(short.lower())
+            if table and live(table) is not None and column.lower() not in live(table):
+                found.add((key, table, column.lower()))
+    return _rows(t, sorted(found, key=str), "query string, table_name string, column_name string")
 
 
 def sample_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:

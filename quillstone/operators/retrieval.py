@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,25 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def bm25(documents: DataFrame, query: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, binary_tf: bool = False) -> DataFrame:
-    """(id, score in [0, 1]) of documents with a query term. Only the query's terms are counted; nothing is exploded but them."""
-    terms = sorted(set(query))
-    schema = documents.select(id_col).schema
+def scanned(documents: DataFrame, query: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, len (tokens), tf0, tf1 ... (of the distinct terms in order) and lexical (`overlap`). Texts are tokenised
+    once; the numbers, some 50 bytes a document, are kept for whatever is derived from them."""
+    own = documents.select(id_col, tokens(F.col(text_col)).alias("t"))
+    counts = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(_terms(query))]
+    return own.select(id_col, F.size("t").alias("len"), *counts, overlap_of(query, F.col("t")).alias("lexical")).persist()
+
+
+def _terms(query: list[str]) -> list[str]:
+    return sorted({w.lower() for w in query})
+
+
+def bm25(documents: DataFrame, query: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, binary_tf: bool = False, scan: DataFrame | None = None) -> DataFrame:
+    """(id, score) of documents with any term, the best score being 1. binary_tf counts each term once. `scan` is `scanned`
+    of the same documents and query, where it is there already."""
+    terms = _terms(query)
     if not terms:
-        return documents.sparkSession.createDataFrame([], schema).withColumn("score", F.lit(0.0))
-    own = documents.select(id_col, tokens(F.col(text_col)).alias("t")).select(id_col, F.size("t").alias("len"), *((F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms)))
+        return documents.select(id_col).limit(0).withColumn("score", F.lit(0.0))
+    own = scanned(documents, query, id_col, text_col) if scan is None else scan
     stats = own.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     both = own.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
 
@@ -77,17 +91,23 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(F.lower(a) == F.lower(b), 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def overlap(query: list[str], text: Column) -> Column:
-    """Share of query terms that a token equals or, both of four letters or more, misses by one edit."""
-    own = tokens(text)
+def overlap_of(query: list[str], own: Column) -> Column:
+    """Share of query terms that one of the tokens equals or, both of four letters or more, misses by one edit."""
 
     def near(q: str):
-        return lambda t: (t == q) | ((F.length(t) >= 4) & F.levenshtein(t, F.lit(q), 1).between(0, 1)) if len(q) >= 4 else t == q
+        if len(q) < 4:
+            return lambda t: t == q
+        return lambda t: F.length(t).between(max(4, len(q) - 1), len(q) + 1) & ((t == q) | (F.levenshtein(t, F.lit(q), 1) >= 0))
 
     hits = [F.exists(own, near(q)).cast("int") for q in query]
     return sum(hits[1:], hits[0]) / len(hits) if hits else F.lit(0.0)
 
 
+def overlaps(documents: DataFrame, query: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of all documents, tokenised once."""
+    return documents.select(id_col, tokens(F.col(text_col)).alias("t")).select(id_col, overlap_of(query, F.col("t")).alias("score"))
+
+
 def adaptive_threshold(n_terms: int, mixed_script: bool = False, base: float = 0.18) -> float:
     moved = base + (0.04 if n_terms <= 3 else -0.03 if n_terms >= 12 else 0.0) - (0.015 if mixed_script else 0.0)
     return max(0.05, min(0.40, moved))
@@ -106,13 +126,22 @@ def penalised(score: Column, name: Column, suffixes: tuple[str, ...], by: float
     return score - F.when(hit, by).otherwise(0.0)
 
 
-def fuzzy_lookup(phrases: DataFrame, values: DataFrame, least: float = 0.75, top: int = 3) -> DataFrame:
-    """phrases: (phrase); values: (value). The best values per phrase, joined on shared trigrams, not all with all."""
-    p = phrases.select("phrase").distinct().withColumn("g", F.explode(trigrams(F.col("phrase"))))
+def phrases(question: str, longest: int = 3) -> list[str]:
+    """Words of two characters or more, then runs of two, then of three, without repeats."""
+    words = [w for w in re.split(r"[\s,.;:!?()\[\]{}\"'/\\]+", question) if len(w) >= 2]
+    return list(dict.fromkeys(" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)))
+
+
+def fuzzy_lookup(questions: DataFrame, values: DataFrame, least: float = 0.75, top: int = 3) -> DataFrame:
+    """questions: (phrase, place): a question's phrases in order; values: (value). Of each phrase the best values, and of each
+    value the best phrase, the first among equals. Joined on shared trigrams, not all with all."""
+    p = questions.select("phrase", "place").withColumn("g", F.explode(trigrams(F.col("phrase"))))
     v = values.select("value").filter("length(value) <= 200").distinct().withColumn("g", F.explode(trigrams(F.col("value"))))
-    scored = p.join(v, "g").select("phrase", "value").distinct().withColumn("score", trigram_similarity(F.col("phrase"), F.col("value"))).filter(F.col("score") >= least)
+    scored = p.join(v, "g").select("phrase", "place", "value").distinct().withColumn("score", trigram_similarity(F.col("phrase"), F.col("value"))).filter(F.col("score") >= least)
     order = Window.partitionBy("phrase").orderBy(F.desc("score"), "value")
-    return scored.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
+    kept = scored.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top)
+    best = F.min(F.struct((-F.col("score")).alias("less"), "place", "phrase")).alias("b")
+    return kept.groupBy("value").agg(best).select("value", F.col("b.phrase").alias("phrase"), (-F.col("b.less")).alias("score"))
 
 
 def excerpt(text: Column, most: int = 280) -> Column:
@@ -137,11 +166,66 @@ def chunks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return grouped.select(id_col, F.col("section").cast("long").alias("section"), F.posexplode(packed).alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
-def compacted_log(lines: DataFrame, keys: list[str], order: str, line_col: str, important: str = r"(?i)error|fail|exception|timeout") -> DataFrame:
-    """Important lines, one for each digit-masked signature of 80 characters: the first by `order`."""
-    signed = lines.filter(F.col(line_col).rlike(important)).withColumn("signature", F.substring(F.regexp_replace(line_col, r"\d+", "N"), 1, 80))
-    first = Window.partitionBy(*keys, "signature").orderBy(order)
-    return signed.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
+#: What makes a log line important; the last two as they are written, all others in any case.
+IMPORTANT = ("[error", "[warn", "[fatal", "exception", "critical", "threat detected", "malware", "quarantine", "security", "breach", "timeout", "denied", "root cause", "post-incident", "escalation", "exfiltration")
+IMPORTANT_AS_WRITTEN = ("  at ", "--- ")
+WHOLE_LINES, FIRST_LINES = 80, 10
+
+
+def important_line(line: Column) -> Column:
+    low, out = F.lower(line), F.lit(False)
+    for w in IMPORTANT:
+        out = out | F.contains(low, F.lit(w))
+    for w in IMPORTANT_AS_WRITTEN:
+        out = out | F.contains(line, F.lit(w))
+    return out
+
+
+def line_signature(line: Column) -> Column:
+    masked = F.regexp_replace(line, r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]+", "TS")
+    return F.substring(F.regexp_replace(masked, "[0-9]+", "N"), 1, 80)
+
+
+def compacted_log(lines: DataFrame, file: str, place: str, line: str, important=important_line, whole: int = WHOLE_LINES, first: int = FIRST_LINES) -> DataFrame:
+    """lines: one row a line, numbered by `place` in its file. Kept lines (file, place, line, omitted): a file of at most `whole`
+    lines as it is; of others, without blanks and outer spaces, every important line and, of the routine ones, the first of
+    each signature. Once `first` lines are kept, a new routine line after a repeat goes too, up to the next important one.
+    `omitted` counts what was left out just before an important line; left-outs at the end follow as a row without a line."""
+    by_file = Window.partitionBy(file)
+    order = by_file.orderBy(place)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.select(file, place, line).withColumn("n", F.count("*").over(by_file))
+    short = rows.filter(F.col("n") <= whole).select(file, place, line, F.lit(0).cast("bigint").alias("omitted"))
+    rows = rows.filter(F.col("n") > whole).withColumn(line, F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))).filter(F.length(line) > 0)
+    rows = rows.withColumn("imp", important(F.col(line))).withColumn("sig", F.when(~F.col("imp"), line_signature(F.col(line))))
+    seen = F.row_number().over(Window.partitionBy(file, "imp", "sig").orderBy(place)) > 1
+    rows = rows.withColumn("repeat", ~F.col("imp") & seen)
+    # Lines between two important ones form a part; a part with a repeat ends with a note, which counts as a line kept.
+    rows = rows.withColumn("part", F.coalesce(F.sum(F.col("imp").cast("int")).over(before), F.lit(0)))
+    in_part = Window.partitionBy(file, "part").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("after_repeat", F.coalesce(F.max("repeat").over(in_part), F.lit(False)))
+    rows = rows.withColumn("note", F.col("imp") & F.col("after_repeat"))
+    # Until `first` lines are kept nothing but repeats goes, so these counts are exact up to there, and stay over it later.
+    kept = F.coalesce(F.sum((~F.col("repeat")).cast("int") + F.col("note").cast("int")).over(before), F.lit(0))
+    rows = rows.withColumn("gone", F.col("repeat") | (~F.col("imp") & F.col("after_repeat") & (kept >= first)))
+    omitted = F.coalesce(F.sum(F.col("gone").cast("int")).over(in_part), F.lit(0))
+    long = rows.withColumn("omitted", F.when(F.col("imp"), omitted).otherwise(0).cast("bigint"))
+    last = long.groupBy(file, "part").agg(F.max("imp").alias("closed"), F.sum(F.col("gone").cast("bigint")).alias("omitted"), F.max(place).alias(place)).filter("not closed and omitted > 0")
+    tail = last.select(file, place, F.lit(None).cast("string").alias(line), "omitted")
+    return short.unionAll(long.filter("not gone").select(file, place, line, "omitted")).unionAll(tail)
+
+
+NEWEST, DEGENERATE = 2000, 5
+
+
+def past_questions(traces: DataFrame, id_col: str, script_col: str, error_col: str, newest: int = NEWEST, degenerate: int = DEGENERATE) -> DataFrame:
+    """The corpus of past questions: the newest traces (by id) with a script and no error, without those whose script occurs
+    `degenerate` times or more among them (0: all scripts stay)."""
+    good = traces.filter(F.col(script_col).isNotNull() & F.col(error_col).isNull()).orderBy(F.desc(id_col)).limit(newest)
+    if not degenerate:
+        return good
+    same = Window.partitionBy(F.md5(script_col))  # at most `newest` rows
+    return good.withColumn("__n", F.count("*").over(same)).filter((F.col("__n") < degenerate) | (F.length(script_col) == 0)).drop("__n")
 
 
 def grounded_share(text: Column, evidence: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.operators.catalog import REDACTED, origins
 
-ROWS, TTL_S, CACHED_ROWS, TIMEOUT_S = 1000, 60.0, 10_000, 30.0
+ROWS, TTL_S, CACHED_ROWS, CACHED_RESULTS, TIMEOUT_S = 1000, 60.0, 10_000, 200, 30.0
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,7 @@ class Cache:
     inner: Run
     ttl_s: float = TTL_S
     most_rows: int = CACHED_ROWS
+    most_results: int = CACHED_RESULTS
     clock: Callable[[], float] = time.monotonic
     held: dict[str, tuple[float, Result]] = field(default_factory=dict)
 
@@ -66,7 +67,10 @@ class Cache:
         if key in self.held and now - self.held[key][0] < self.ttl_s:
             return replace(self.held[key][1], cache_hit=True)
         found = self.inner(df, key)
+        self.held = {k: v for k, v in self.held.items() if now - v[0] < self.ttl_s}
         if not found.error and len(found.rows) <= self.most_rows:
+            while len(self.held) >= self.most_results:
+                self.held.pop(min(self.held, key=lambda k: self.held[k][0]))
             self.held[key] = (now, found)
         return found
 

@@ -11,10 +11,30 @@ from dataclasses import dataclass, field
 from quillstone.planner.execute import Result
 
 LONGEST = 2000
-#: Verbs that ask for a change, in English and Arabic.
-_WRITES = re.compile(r"\b(delete|drop|truncate|insert|update|alter|create|grant|revoke|merge|remove|erase|wipe)\b\s+(?:(?:all|the|every|a|an|my|this|from|into|table|record|records|rows?)\b\s*)+|\b(?:drop|truncate|alter)\s+table\b|احذف|امسح|عدل|أضف", re.I)
-_SEQUENCE = re.compile(r"\b(?:and\s+then|then|after\s+that|for\s+those|of\s+those)\b", re.I)
-_PARALLEL = re.compile(r"\s*(?:;|\?\s+(?=\w)|\balso\b|\bas\s+well\s+as\b)\s*", re.I)
+#: What asks for a change. `some` stands for up to n words between a verb and what it changes.
+_some = lambda n, least=0: rf"(?:[\w-]+\s+){{{least},{n}}}"
+WRITES = (
+    r"\bdelete\b",
+    rf"\b(?:drop|dropped|dropping|drp|dropp|droping)\s+{_some(4)}(?:table|column|index|database|view|schema|entire\s+database|everything|all)s?\b",
+    r"\b(?:truncate|truncating|trunc)\b",
+    r"\b(?:insert|insrt)\s+(?:a\s+|an\s+|new\s+|into|row|record|entry)",
+    rf"\b(?:update|updated|updating|updat|updte)\s+{_some(4, 1)}(?:to|set|=|with)(?:\b|\s)",
+    rf"\balter\s+{_some(4)}(?:table|column|database|schema)s?\b",
+    rf"\bcreate\s+{_some(3)}(?:table|user|account|role|index|view|database|schema)s?\b",
+    rf"\bmodify\s+{_some(5, 1)}(?:to|set|with)\b",
+    rf"\bremove\s+{_some(5, 1)}(?:from|where|with)\b",
+    rf"\bset\s+{_some(2)}[\w-]+\s*=\s*\S",
+    rf"\b(?:mark|assign)\s+{_some(5)}(?:as|=|to)(?:\b|\s)",
+    r"\bget\s+rid\s+of\b|\b(?:wip(?:e|ed|ing)|clean(?:ing)?|clear)\s+out\b|\b(?:purg(?:e|es|ed|ing)|eradicat(?:e|ing)|nuk(?:e|ed|ing)|zap|zapped)\b",
+    r"\b(?:grant|revoke|merge|erase|wipe)\b\s+(?:all|the|every|a|an|my|this|from|into|table|records?|rows?)\b",
+    "احذف|حذف|امسح|مسح|أنشئ|انشاء|عدّل|عدل|تعديل|أدخل|إدخال|ادخال|غيّر|تغيير|أضف|اضف|أضيفي|إضافة|اضافة|أزل|ازل|إزالة|ازالة",
+)
+_WRITES = re.compile("|".join(WRITES), re.I)
+#: What parts a question into steps, and into questions of their own.
+_SEQUENCE = re.compile(r"\s*(?:,\s*then\b|\.\s*then\b|\band\s+then\b|\bthen\b|\bafter\s+that\b|\bfor\s+(?:those|these)\b|\bof\s+those\b|\bbased\s+on\s+(?:those|that|these)\b)", re.I)
+_PARALLEL = re.compile(r"\s*(?:;\s*(?:and\s+)?(?:also\b[, ]?)?|\?\s*and\s+|\?\s+(?=\w)|\.\s*also[, ]|\band\s+also\b|\balso\b|\bas\s+well\s+as\b|\bversus\b|\bvs\.?\s|\bcompared\s+to\b|\band\s+(?=how\s+(?:many|much|long|often)\b)|\band\s+(?=what\s+(?:is|are|was|were)\b))\s*", re.I)
+#: What is asked for in one result stays one question.
+_TOGETHER = re.compile(r"\bin\s+(?:one|a\s+single|the\s+same)\s+(?:list|table|result|query|output)\b|\bcombined\b|\btogether\b|\bas\s+(?:one|a\s+single)\b|\bside\s+by\s+side\b", re.I)
 
 
 def wants_write(question: str) -> bool:
@@ -57,7 +77,10 @@ def in_scope(schema_similarity: float, question_similarity: float, least_schema:
 
 
 def decomposed(question: str) -> tuple[str, list[str]]:
-    """('sequential' | 'parallel' | 'single', parts). A grouped question ('by', 'per') is one question."""
+    """('sequential' | 'parallel' | 'single', parts). A grouped question ('by', 'per') is one question, and so is one whose
+    parts are wanted together."""
+    if _TOGETHER.search(question):
+        return "single", [question.strip()]
     if _SEQUENCE.search(question):
         return "sequential", [p.strip(" ,.?") for p in _SEQUENCE.split(question) if p.strip(" ,.?")]
     parts = [p.strip(" ,.?") for p in _PARALLEL.split(question) if p.strip(" ,.?")]

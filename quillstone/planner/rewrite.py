@@ -118,28 +118,3 @@ def repaired(q: QueryIR, g: Grounding, labels: dict[str, str] | None = None) ->
     for rule in (strip_status, strip_flags, strip_foreign_keys, strip_clock, inject_values):
         q = rule(q, g)
     return resolve_contradictions(fix_grain(q, g, labels or {}), g)
-
-
-_LITERAL = re.compile(r"('(?:[^']|'')*')")
-_CALLS = (
-    (re.compile(r"\[([^\]\[]+)\]"), r"`\1`"),
-    (re.compile(r"\bISNULL\s*\(", re.I), "coalesce("),
-    (re.compile(r"\bLEN\s*\(([^()]*)\)", re.I), r"length(rtrim(\1))"),
-    (re.compile(r"\b(?:GETDATE|GETUTCDATE|SYSDATETIME)\s*\(\s*\)", re.I), "current_timestamp()"),
-    (re.compile(r"\bDATEFROMPARTS\s*\(", re.I), "make_date("),
-    (re.compile(r"\bNVARCHAR(?:\(\w+\))?", re.I), "string"),
-    (re.compile(r"\bOFFSET\s+(\d+)\s+ROWS?\s+FETCH\s+(?:NEXT|FIRST)\s+(\d+)\s+ROWS?\s+ONLY", re.I), r"LIMIT \2 OFFSET \1"),
-)
-
-
-def spark_sql(sql: str) -> str:
-    """T-SQL spellings to Spark's, outside of string literals; TOP n of the outermost SELECT becomes LIMIT n."""
-    sql = sql.strip().rstrip(";")
-    top = re.match(r"(?is)^(SELECT\s+(?:DISTINCT\s+)?)TOP\s*\(?\s*(\d+)\s*\)?\s+(?!PERCENT)", sql)
-    if top:
-        sql = top[1] + sql[top.end() :] + f" LIMIT {top[2]}"
-    parts = _LITERAL.split(sql)
-    for i in range(0, len(parts), 2):
-        for pattern, new in _CALLS:
-            parts[i] = pattern.sub(new, parts[i])
-    return "".join(parts)

@@ -16,6 +16,8 @@ PERSON_HINTS = ("customer", "user", "employee", "agent", "person", "supplier")
 PRIVATE_HINTS = ("email", "phone", "address", "national", "ssn", "passport", "birth", "iban", "password")
 DATE_ROLES = {"created": ("created", "signup", "order", "issued"), "due": ("due", "deadline"), "closed": ("closed", "resolved", "completed", "paid", "ship"), "changed": ("updated", "modified")}
 LOOKUP_COLUMNS = 6
+#: Foreign keys that point at a table of persons at least.
+PERSON_KEYS = 3
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ def inferred(name: str, schema: T.StructType, keys: tuple[ForeignKey, ...] = FOR
         label,
         is_lookup=not out and bool(into) and len(columns) <= LOOKUP_COLUMNS and label is not None and name in PRIMARY_KEYS,
         is_bridge=len(out) == 2 and len(columns) <= 4,
-        is_person=any(h in name for h in PERSON_HINTS) and len(into) >= 1,
+        is_person=any(h in name for h in PERSON_HINTS) and len(into) >= PERSON_KEYS,
         soft_delete=next((c for c in columns if re.search(r"is_?deleted$", c, re.I)), None),
         private=tuple(c for c in columns if any(h in c.lower() for h in PRIVATE_HINTS)),
         dates=dates,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.semantics import bucket, rate
 from quillstone.operators.grid import Grid, page
 from quillstone.plans.shapes import plan
+from quillstone.sources.files import json_rows
 
 c = F.col
 _DAY = "TIMESTAMP '2001-08-01'"
@@ -150,8 +151,9 @@ plan(
 )
 plan(
     "json_project",
-    lambda t: t.events.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value")).select("event_id", "name", F.substring("value", 1, 250).alias("value")),
-    "SELECT event_id, name, substr(json_extract_string(props, '$.' || name), 1, 250) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS name FROM events)",
+    lambda t: t.events.select("event_id", F.posexplode(json_rows(F.concat(F.lit('[{"own": "'), "event_type", F.lit('"}, '), "props", F.lit("]")))).alias("row", "m")).select("event_id", F.col("row").cast("bigint").alias("row"), F.explode("m").alias("name", "value")),
+    """SELECT event_id, CAST(0 AS BIGINT) AS row, 'own' AS name, event_type AS value FROM events
+UNION ALL SELECT event_id, 1, name, substr(json_extract_string(props, '$.' || name), 1, 250) FROM (SELECT event_id, props, unnest(json_keys(props)[1:20]) AS name FROM events)""",
 )
 plan(
     "trace_issues",

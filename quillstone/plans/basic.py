@@ -1,12 +1,11 @@
 """Projection, predicates, aggregation, grouping, order and limits."""
 
-import math
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.semantics import boundary_diff, contains_fold, ratio
-from quillstone.operators.percentiles import continuous_percentiles
+from quillstone.operators.percentiles import continuous_percentiles, top_percent
 from quillstone.plans.shapes import plan
 
 c = F.col
@@ -148,16 +147,6 @@ plan("lim_bottom", lambda t: t.orders.orderBy("o_totalprice", "o_orderkey").limi
 plan("lim_offset", lambda t: t.orders.orderBy("o_orderkey").offset(20).limit(10).select(*_O), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
 
 
-def top_percent(df, percent: float, value: str, key: str):
-    """The ceil(n * percent / 100) rows of the largest values, by key among equals: the last such row is found by a sort
-    over all partitions, then rows up to it are filtered; no window holds all rows."""
-    wanted = math.ceil(df.count() * percent / 100)
-    edge = df.select(value, key).orderBy(F.desc(value), key).offset(max(0, wanted - 1)).limit(1)
-    last = edge.select(c(value).alias("__v"), c(key).alias("__k"))
-    beyond = (c(value) > c("__v")) | ((c(value) == c("__v")) & (c(key) <= c("__k")))
-    return df.join(F.broadcast(last), beyond).drop("__v", "__k")
-
-
 plan(
     "lim_percent",
     lambda t: top_percent(t.orders, 5, "o_totalprice", "o_orderkey").select(*_O),

@@ -22,11 +22,13 @@ def attachments(spark: SparkSession, folder: str, most_bytes: int = 1 << 20) ->
     return files.select("path", "length", F.when(kind.isin(*TEXT_EXTENSIONS) & (F.col("length") <= most_bytes), F.col("content").cast("string")).alias("text"))
 
 
-def json_rows(payload: Column, most_rows: int = 20, longest: int = 250) -> Column:
-    """An object or an array of objects as an array of maps; nested values as text cut at `longest` characters."""
+def json_rows(payload: Column, most_rows: int = 20, most_properties: int = 20, longest: int = 250) -> Column:
+    """An object or an array of objects as an array of maps: the first rows, of each the first properties; nested values as
+    text cut at `longest` characters."""
     as_array = F.when(F.ltrim(payload).startswith("["), payload).otherwise(F.concat(F.lit("["), payload, F.lit("]")))
     rows = F.slice(F.from_json(as_array, "array<map<string,string>>"), 1, most_rows)
-    return F.transform(rows, lambda m: F.transform_values(m, lambda _, v: F.substring(v, 1, longest)))
+    cut = lambda e: F.struct(e["key"].alias("key"), F.substring(e["value"], 1, longest).alias("value"))
+    return F.transform(rows, lambda m: F.map_from_entries(F.transform(F.slice(F.map_entries(m), 1, most_properties), cut)))
 
 
 def append(rows: DataFrame, path: str, *partitions: str) -> None:

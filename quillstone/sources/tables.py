@@ -56,6 +56,13 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def names(self) -> list[str]:
+        """What the folder holds as Parquet, in any store that Spark reads."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        found = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+        return sorted(n.removesuffix(".parquet") for n in (f.getPath().getName() for f in found) if n.endswith(".parquet"))
+
     def register(self, *names: str) -> None:
         for name in names or PRIMARY_KEYS:
             getattr(self, name).createOrReplaceTempView(name)

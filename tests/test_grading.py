@@ -3,7 +3,7 @@ import datetime
 from quillstone.planner.execute import Result
 from quillstone.planner.grading import Gold, cell, covers, equal, facets, graded
 from quillstone.planner.schema import cues, inferred, linked_tables, linked_values, singular, trigram
-from quillstone.sources.tables import PRIMARY_KEYS, Tables
+from quillstone.sources.tables import PRIMARY_KEYS, ForeignKey, Tables
 
 
 def r(*rows):
@@ -38,7 +38,14 @@ def test_roles(spark, sf_dir):
     t = Tables(spark, sf_dir)
     region, customer, orders = (inferred(n, getattr(t, n).schema) for n in ("region", "customer", "orders"))
     assert region.is_lookup and region.label == "r_name" and not customer.is_lookup
-    assert customer.is_person and orders.dates == {"created": "o_orderdate"} and not orders.is_bridge
+    assert not customer.is_person and orders.dates == {"created": "o_orderdate"} and not orders.is_bridge
+
+
+def test_persons(spark, sf_dir):
+    """A table of persons is one that three others point at."""
+    keys = tuple(ForeignKey(n, "c", "customer", "c_custkey") for n in ("a", "b", "d"))
+    schema = Tables(spark, sf_dir).customer.schema
+    assert inferred("customer", schema, keys).is_person and not inferred("customer", schema, keys[:2]).is_person
 
 
 def test_linking():

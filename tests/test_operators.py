@@ -1,4 +1,6 @@
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from quillstone.functions.semantics import boundary_diff
 from quillstone.operators import catalog, compare, percentiles
 from quillstone.operators import retrieval as R
 from quillstone.sources import files
+from quillstone.sources.tables import Tables
 
 
 def one(spark, column):
@@ -30,6 +33,90 @@ def test_percentiles_with_ties_and_nulls(spark):
     assert got == {"a": (values[250], values[475]), "c": (4.0, 4.0)}
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 40, 5])
+def test_percentiles_cut_again(spark, limit):
+    """Ranges are divided until few rows are left, or one value."""
+    values = [float((i * 7919) % 3001) for i in range(3000)] + [17.0] * 900
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 5.0)] * 300, "g string, v double")
+    ranks = {f"r{k}": F.lit(k) for k in (0, 17, 299)}
+    got = {r.g: r.asDict() for r in percentiles.values_at(df, ["g"], "v", ranks, limit).collect()}
+    assert [got["a"][f"r{k}"] for k in (0, 17, 299)] == [sorted(values)[k] for k in (0, 17, 299)]
+    assert got["a"]["__n"] == 3900 and got["b"] == {"g": "b", "r0": 5.0, "r17": 5.0, "r299": 5.0, "__n": 300}
+
+
+def test_top_percent(spark):
+    rows = [(i, float(i % 10)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    for percent in (1, 5, 12.5, 100):
+        n = -int(-200 * percent // 100)
+        want = sorted(sorted(rows, key=lambda r: (-r[1], r[0]))[:n])
+        assert sorted(map(tuple, percentiles.top_percent(df, percent, "v", "k").collect())) == want
+    assert percentiles.top_percent(df.limit(0), 5, "v", "k").count() == 0
+
+
+def _compacted(lines, whole, first):
+    """The rules, line by line."""
+    if len(lines) <= whole:
+        return [(x, 0) for x in lines]
+    out, left, n, seen = [], 0, 0, set()
+    for x in lines:
+        x = x.strip()
+        if not x:
+            continue
+        if "ERROR" in x:
+            if left:
+                n += 1
+            out.append((x, left))
+            n, left = n + 1, 0
+            continue
+        sig = re.sub(r"\d+", "N", x)[:80]
+        if sig in seen or (n >= first and left):
+            left += 1
+        else:
+            out.append((x, 0))
+            n += 1
+        seen.add(sig)
+    return out + ([(None, left)] if left else [])
+
+
+def test_log_compaction(spark):
+    rng = random.Random(4)
+    files = {f: [rng.choice(["load 1", "load 22", " save 3 ", "", "[ERROR x", "tick", "a b", f"new {'abcdefgh'[i % 8]}", "free"]) for i in range(rng.choice([3, 9, 30, 90]))] for f in range(40)}
+    rows = [(f, i, x) for f, xs in files.items() for i, x in enumerate(xs)]
+    got = {f: [] for f in files}
+    for r in R.compacted_log(spark.createDataFrame(rows, "f int, i int, x string"), "f", "i", "x", whole=8, first=6).orderBy("f", "i", F.col("x").isNull()).collect():
+        got[r.f].append((r.x, r.omitted))
+    assert got == {f: _compacted(xs, 8, 6) for f, xs in files.items()}
+
+
+def test_important_lines(spark):
+    for text, want in (("2024 [Error] x", True), ("at rest", False), ("  at Foo.Bar()", True), ("--- end", True), ("ROOT CAUSE: y", True), ("all fine", False)):
+        assert one(spark, R.important_line(F.lit(text))) is want
+    assert one(spark, R.line_signature(F.lit("2024-01-02 03:04:05.678 job 17 took 5 ms"))) == "TS job N took N ms"
+
+
+def test_fuzzy_lookup(spark):
+    assert R.phrases("the Cat, the dog a") == ["the", "Cat", "dog", "the Cat", "Cat the", "the dog", "the Cat the", "Cat the dog"]
+    asked = spark.createDataFrame([(p, i) for i, p in enumerate(R.phrases("open tickts in North America now"))], "phrase string, place int")
+    values = spark.createDataFrame([("North America",), ("Tickets",), ("Opening",), ("x" * 300,)], "value string")
+    got = {r.value: (r.phrase, round(r.score, 2)) for r in R.fuzzy_lookup(asked, values, least=0.5).collect()}
+    assert got["North America"] == ("North America", 1.0) and got["Tickets"][0] == "tickts" and set(got) == {"North America", "Tickets"}
+
+
+def test_past_questions(spark):
+    rows = [(i, f"q{i % 7}" if i % 3 else "same", "bad" if i % 10 == 0 else None) for i in range(100)] + [(200, None, None), (201, "", None)]
+    got = sorted(r.id for r in R.past_questions(spark.createDataFrame(rows, "id long, script string, error string"), "id", "script", "error", newest=30, degenerate=5).collect())
+    newest = [r for r in sorted(rows, reverse=True, key=lambda r: r[0]) if r[1] is not None and r[2] is None][:30]
+    assert got == sorted(i for i, s, _ in newest if s == "" or sum(x[1] == s for x in newest) < 5)
+
+
+def test_tables_of_a_folder(spark, tmp_path):
+    for name in ("b", "a"):
+        spark.range(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    (tmp_path / "notes.txt").write_text("x")
+    assert [r.table_name for r in catalog.tables(Tables(spark, str(tmp_path))).collect()] == ["a", "b"]
+
+
 def test_cosine_guards(spark):
     vec = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<double>")
     assert one(spark, R.cosine(vec(1.0, 0.0), vec(1.0, 0.0))) == pytest.approx(1)
@@ -57,6 +144,7 @@ def test_folding(spark):
     assert one(spark, X.language(F.lit("مرحبا world"))) == "ar"
     assert one(spark, X.script_profile(F.lit("مرحبا بالعالم كله hello world"))) == "mixed"
     assert one(spark, X.normalized(F.lit("ﬁne، ١٢ Ünï"), X.nfkc())) == "fine 12 ünï"
+    assert one(spark, X.normalized(F.lit(" كـتاب؟ ۱۲٣ أهلاً x+y\tz!"), X.nfkc())) == "ك تاب 123 اهلا x+yz"
 
 
 def test_redaction_follows_lineage(spark):
@@ -82,6 +170,8 @@ def test_files(spark, tmp_path):
     files.append(log, str(tmp_path / "log"))
     assert sorted(r.s for r in files.latest(spark.read.parquet(str(tmp_path / "log")), "k", "v").collect()) == ["new", "x"]
     rows = one(spark, files.json_rows(F.lit('[{"a": 1, "b": {"c": 2}}, {"a": null}]')))
+    many = one(spark, files.json_rows(F.lit("[" + ", ".join("{" + ", ".join(f'"p{i:02}": "{"x" * 300}"' for i in range(30)) + "}" for _ in range(25)) + "]")))
+    assert len(many) == 20 and all(sorted(m) == [f"p{i:02}" for i in range(20)] and {len(v) for v in m.values()} == {250} for m in many)
     assert rows[0]["a"] == "1" and rows[0]["b"] == '{"c":2}'
 
 

@@ -1,5 +1,6 @@
 import pytest
 
+from quillstone.planner import dialect as D
 from quillstone.planner import execute as E
 from quillstone.planner import guards as G
 from quillstone.planner import rewrite as W
@@ -38,10 +39,39 @@ def test_rewrites():
 
 
 def test_dialect(spark, t):
-    sql = W.spark_sql("SELECT TOP 3 [o_orderkey], ISNULL(o_orderstatus, 'LEN(x)') AS s FROM [orders] ORDER BY o_orderkey;")
+    sql = D.spark_sql("SELECT TOP 3 [o_orderkey], ISNULL(o_orderstatus, 'LEN(x)') AS s FROM [orders] ORDER BY o_orderkey;")
     assert sql == "SELECT `o_orderkey`, coalesce(o_orderstatus, 'LEN(x)') AS s FROM `orders` ORDER BY o_orderkey LIMIT 3"
     assert spark.sql(sql).count() == 3
-    assert W.spark_sql("SELECT a FROM b ORDER BY a OFFSET 5 ROWS FETCH NEXT 2 ROWS ONLY").endswith("LIMIT 2 OFFSET 5")
+    assert D.spark_sql("SELECT a FROM b ORDER BY a OFFSET 5 ROWS FETCH NEXT 2 ROWS ONLY").endswith("LIMIT 2 OFFSET 5")
+    inner = D.spark_sql("SELECT count(*) AS n FROM (SELECT TOP (4) o_orderkey FROM orders ORDER BY o_orderkey) x WHERE o_orderkey IN (SELECT TOP 2 o_orderkey FROM orders ORDER BY o_orderkey)")
+    assert inner.count("LIMIT") == 2 and spark.sql(inner).first().n == 2
+    both = D.spark_sql("SELECT TOP 1 o_orderkey FROM orders UNION ALL SELECT TOP 2 o_orderkey FROM orders")
+    assert spark.sql(both).count() == 3
+    for bad in ("SELECT TOP 5 PERCENT a FROM b", "SELECT TOP 5 WITH TIES a FROM b", "SELECT DATEDIFF(eon, a, b) FROM c", "SELECT (a FROM b"):
+        with pytest.raises(D.Unsupported):
+            D.spark_sql(bad)
+
+
+@pytest.mark.parametrize(
+    ("x", "want"),
+    [
+        ("DATEDIFF(month, CAST('2021-01-31' AS DATE), CAST('2021-02-01' AS DATE))", 1),
+        ("DATEDIFF(yy, CAST('2020-12-31' AS DATE), CAST('2021-01-01' AS DATE))", 1),
+        ("DATEDIFF(quarter, CAST('2021-03-31' AS DATE), CAST('2021-04-01' AS DATE))", 1),
+        ("DATEDIFF(hour, CAST('2021-01-01 00:59:00' AS DATETIME2), CAST('2021-01-01 01:01:00' AS DATETIME))", 1),
+        ("DATEDIFF(wk, CAST('2025-01-05' AS DATE), CAST('2025-01-06' AS DATE))", 1),
+        ("DATEDIFF(day, CAST('2021-01-01 23:59:00' AS DATETIME), GETDATE())", -7093),
+        ("FORMAT(DATEADD(month, DATEDIFF(month, 0, CAST('2021-02-17' AS DATE)), 0), 'yyyy-MM-dd')", "2021-02-01"),
+        ("FORMAT(CAST('2021-02-17' AS DATE), 'yyyy-MM') + '/' + CONVERT(NVARCHAR(20), 7)", "2021-02/7"),
+        ("CONVERT(VARCHAR(10), CAST('2021-02-17' AS DATE), 103)", "17/02/2021"),
+        ("FORMAT(1234.5, 'N2')", "1,234.50"),
+        ("IIF(LEN('ab  ') = 2, N'it''s', 'x')", "it's"),
+        ("CAST(EOMONTH(DATEFROMPARTS(2021, 2, 3)) AS NVARCHAR(MAX))", "2021-02-28"),
+        ("1 + CAST('2' AS INT)", 3),
+    ],
+)
+def test_dialect_values(spark, x, want):
+    assert spark.sql(D.spark_sql(f"SELECT {x} AS v", "2001-08-01")).first().v == want
 
 
 @pytest.mark.parametrize(
@@ -88,6 +118,12 @@ def test_chain(spark, t):
 
 
 def test_guards():
+    for asked in ("get rid of old orders", "purge the log", "nuke everything", "mark order 7 as paid", "set status = closed", "assign tickets to Ann", "drp all tables", "update order 7 to closed", "أضف عميل", "insert a row"):
+        assert G.wants_write(asked), asked
+    for asked in ("which orders were updated", "how many created this month", "show settings", "list marked orders", "orders without assigned agents"):
+        assert not G.wants_write(asked), asked
+    assert G.decomposed("how many orders and how many parts")[0] == "parallel"
+    assert G.decomposed("orders and also parts side by side")[0] == "single"
     assert G.wants_write("Delete all orders") and G.wants_write("drop table x") and not G.wants_write("how many deleted orders")
     now = [0.0]
     limiter = G.RateLimiter(2, 60, lambda: now[0])
@@ -143,4 +179,5 @@ def test_abstains(t, question):
 
 
 def test_shapes():
-    assert [shape_of(q) for q in ("customers without orders", "top 5 parts", "orders this year vs last", "orders by day", "how many", "see ORD-12", "since 2000", "list")] == ["anti_join", "top", "compare", "group", "aggregate", "lookup", "temporal", "filter"]
+    asked = {"how many tickets do we have": "count", "count of overdue bills": "count", "top 5 customers by total billed amount": "topn", "highest spending customers": "topn", "orders this year vs last": "compare", "orders by month": "timeseries", "average price of parts": "aggregate", "details of customer 7": "lookup", "see ord-123": "lookup", "customers with their orders": "join", "list parts": "filter", "كم عدد الطلبات": "count", "أعلى العملاء": "topn"}
+    assert {q: shape_of(q) for q in asked} == asked
