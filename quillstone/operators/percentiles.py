@@ -16,11 +16,6 @@ BUCKETS = 64
 LIMIT, BROADCAST_GROUPS = 1 << 20, 10_000
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its counted rows, of at most BUCKETS values each, are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
-
-
 def _cuts(rows: DataFrame) -> DataFrame:
     """rows: (k, v). Per group: k, cuts, n."""
     return rows.groupBy("k").agg(F.percentile_approx("v", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"), F.count("*").alias("n")).persist()
@@ -28,7 +23,9 @@ def _cuts(rows: DataFrame) -> DataFrame:
 
 def _at_ranks(rows: DataFrame, cuts: DataFrame, wanted: DataFrame, limit: int, before: int | None = None) -> DataFrame:
     """rows: (k, v); wanted: (k, name, rank from 0). (k, name, v)."""
-    placed = rows.join(_few(cuts), "k").select("k", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("b"))
+    # One row a group, and one for each rank: broadcast if the counted groups are few.
+    few = F.broadcast if cuts.count() <= BROADCAST_GROUPS else lambda df: df
+    placed = rows.join(few(cuts), "k").select("k", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("b"))
     counted = placed.groupBy("k", "b").agg(F.count("*").alias("c"))
     earlier = F.coalesce(F.sum("c").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = (F.col("rank") >= F.col("earlier")) & (F.col("rank") < F.col("earlier") + F.col("c"))
@@ -36,10 +33,10 @@ def _at_ranks(rows: DataFrame, cuts: DataFrame, wanted: DataFrame, limit: int, b
     most = target.agg(F.max("c")).first()[0] or 0
     if most > limit and (before is None or most < before):
         own = F.struct("k", "b").alias("k")
-        part = placed.join(_few(target.select("k", "b").distinct()), ["k", "b"]).select(own, "v")
+        part = placed.join(few(target.select("k", "b").distinct()), ["k", "b"]).select(own, "v")
         found = _at_ranks(part, _cuts(part), target.select(own, "name", "rank"), limit, most)
         return found.select("k.k", "name", "v")
-    values = placed.join(_few(target.select("k", "b", "name", "rank")), ["k", "b"]).groupBy("k", "name", "rank", "v").agg(F.count("*").alias("c"))
+    values = placed.join(few(target.select("k", "b", "name", "rank")), ["k", "b"]).groupBy("k", "name", "rank", "v").agg(F.count("*").alias("c"))
     low = F.coalesce(F.sum("c").over(Window.partitionBy("k", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return values.withColumn("low", low).filter("rank >= low and rank < low + c").select("k", "name", "v")
 
