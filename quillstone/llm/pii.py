@@ -64,11 +64,14 @@ PATTERNS = {
     "person": rf"{_TITLE}{_NAME}(?:\s{_NAME}){{0,2}}",
     "secret": rf"(?i:{_SECRET})(?:\"[^\"\s]{{8,}}|'[^'\s]{{8,}}|{_UNQUOTED})",
 }
-#: What must not stand before and after an entity. A secret's name may have a prefix (DB_PASSWORD).
-_BEFORE = {k: _START for k in PATTERNS} | {"ip": _START + "(?<!(?i:" + "|".join(NUMBERED) + r")[ .:]{1,2})", "secret": r"(?<![\p{L}\p{N}])"}
+#: What must not stand before and after an entity; a first look spares most places the rest. A secret's name may have a
+#: prefix (DB_PASSWORD), which stays.
+_FIRST = "".join(sorted({w[0] for w in FEMALE + MALE}))
+_BEFORE = {"ip": r"(?=\d{1,3}\.\d)(?<!(?i:" + "|".join(NUMBERED) + r")[ .:]{1,2})", "ssn": r"(?=\d)", "card": r"(?=\d)", "phone": r"(?=[\d(+])", "person": f"(?=[{_FIRST}])"}
 _AFTER = {"ip": r"(?![\d.]*\d)", "ssn": r"(?!\d)", "phone": r"(?!\d)", "card": r"(?!\d)", "iban": r"(?![\p{L}\p{N}])"}
 # A phone number may begin with a plus sign, which _START takes for a part of a word only before it.
-ANY = "(?:" + "|".join(_BEFORE[k] + p.replace(r"\1", r"[-. ]") + _AFTER.get(k, "") for k, p in PATTERNS.items()) + ")"
+_PLAIN = "|".join(_BEFORE.get(k, "") + p.replace(r"\1", r"[-. ]") + _AFTER.get(k, "") for k, p in PATTERNS.items() if k != "secret")
+ANY = rf"{_START}(?:{_PLAIN})|(?=[{''.join(sorted({c for w in SECRETS for c in (w[0], w[0].upper())}))}])(?<![\p{{L}}\p{{N}}])" + PATTERNS["secret"]
 
 
 def _matches(kind: str, x: Column) -> Column:
