@@ -80,7 +80,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def _planned(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     docs = _sized(documents, id_col, text_col, source_col)
-    cells = docs.groupBy("__key", "__source", "__class", "__part").agg(F.count("*").alias("__n"), F.sum("size").alias("__size"))
+    # Written out: both prefix sums and targets follow from it, and texts are counted once for them.
+    cells = C.persisted(docs.groupBy("__key", "__source", "__class", "__part").agg(F.count("*").alias("__n"), F.sum("size").alias("__size")), "mix-cells")
     within = Window.partitionBy("__key").orderBy("__class", "__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0)))
     sources = targets(cells.groupBy("__key", "__source").agg(F.sum("__size").alias("source_size")))
