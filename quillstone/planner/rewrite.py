@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from quillstone.planner.ir import Measure, Predicate, QueryIR
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
+
+from quillstone.planner.ir import Measure, Predicate, QueryIR, compiled
 from quillstone.sources.tables import FOREIGN_KEYS, PRIMARY_KEYS
 
 
@@ -114,6 +117,40 @@ def repair_columns(q: QueryIR, known: set[str], locale: str = "en") -> QueryIR:
     return q.but(lossy=lossy, confidence=min(q.confidence, 0.5) if lossy else q.confidence)
 
 
+def resolved(q: QueryIR, tables, g: Grounding, most: int = 8) -> tuple[QueryIR, DataFrame] | str:
+    """The query with the columns that the analyser can't resolve repaired, and its rows; or why there is none. Each error names
+    a column and those it might have been: its twin among all known ones takes its place, else it is stripped. If a filter
+    that held a literal goes and the question grounds nothing, the answer would be to another question, so there is none."""
+    known = {c for name in (q.source, *q.tables) for c in getattr(tables, name).columns}
+    for _ in range(most):
+        try:
+            return q, compiled(q, tables)
+        except AnalysisException as e:
+            if not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                return f"it can't be resolved: {e.getCondition()}"
+            said = e.getMessageParameters()
+        bad = said["objectName"].split(".")[-1].strip("`")
+        likely = {x.strip().split(".")[-1].strip("`") for x in said.get("proposal", "").split(",")} - {""}
+        found = twin(bad, likely, g.locale) or twin(bad, known, g.locale)
+        if found == bad:
+            found = None
+        dropped = [p for p in q.filters if p.column == bad]
+        rename = lambda c: found if c == bad else c  # noqa: B023, E731
+        keep = lambda c: found is not None or c != bad  # noqa: B023, E731
+        if found is None and dropped and not g.values and not g.ids:
+            return f"there is no column {bad} to compare with {dropped[0].values[0]!r}"
+        q = q.but(
+            filters=tuple(Predicate(rename(p.column), p.op, p.values) for p in q.filters if keep(p.column)),
+            measures=tuple(Measure(m.function, rename(m.column), m.alias) for m in q.measures if keep(m.column)),
+            columns=tuple(rename(c) for c in q.columns if keep(c)),
+            group=tuple(rename(c) for c in q.group if keep(c)),
+            order=tuple((rename(c), d) for c, d in q.order if keep(c)),
+        )
+        if found is None:
+            q = q.but(lossy=True, confidence=min(q.confidence, 0.5))
+    return "too many columns are unknown"
+
+
 def repaired(q: QueryIR, g: Grounding, labels: dict[str, str] | None = None) -> QueryIR:
     for rule in (strip_status, strip_flags, strip_foreign_keys, strip_clock, inject_values):
         q = rule(q, g)

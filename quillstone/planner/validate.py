@@ -17,18 +17,27 @@ READING = frozenset(
 _LEAK = re.compile(r"\{\{|\}\}|<\w+>|```|^\s*[\[{]")
 
 
+def _like(name: str, patterns) -> bool:
+    return any(fnmatch.fnmatch(name.lower(), p.lower()) for p in patterns)
+
+
 @dataclass(frozen=True)
 class Policy:
-    """hidden: tables nobody sees; blocked: column patterns (table.column, with * and ?) that must not be read."""
+    """Two levels: a table of `hidden` does not exist for anyone; one of `unqueried` may be listed and described, but not read
+    by queries. Names or patterns with * and ?. blocked: patterns of columns (table.column) that must not be read."""
 
     hidden: frozenset[str] = frozenset()
     blocked: tuple[str, ...] = ()
+    unqueried: frozenset[str] = frozenset()
 
     def allows(self, table: str) -> bool:
-        return table.lower() not in {h.lower() for h in self.hidden}
+        return bool(table.strip()) and not _like(table, self.hidden)
+
+    def queryable(self, table: str) -> bool:
+        return self.allows(table) and not _like(table, self.unqueried)
 
     def blocks(self, table: str, column: str) -> bool:
-        return any(fnmatch.fnmatch(f"{table}.{column}".lower(), p.lower()) for p in self.blocked)
+        return _like(f"{table}.{column}", self.blocked)
 
 
 @dataclass(frozen=True)
@@ -92,7 +101,7 @@ def validate(spark: SparkSession, sql: str, tables: set[str], policy: Policy = P
                 read[a.exprId().toString()] = (node.identifier().name(), a.name())
     used = {t for t, _ in read.values()}
     for t in used:
-        if not policy.allows(t):
+        if not policy.queryable(t):
             return Verdict(False, f"table {t} is not allowed")
     for node in _nodes(analysed):
         if node.getClass().getSimpleName() in ("SubqueryAlias", "View", "LogicalRelation"):

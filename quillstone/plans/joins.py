@@ -30,10 +30,11 @@ plan(
     lambda t: t.documents.select("doc_id", "lang").join(t.labels.select(c("doc_id").alias("label_id"), "quality"), c("doc_id") == c("label_id"), "full"),
     "SELECT d.doc_id, lang, l.doc_id AS label_id, quality FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id",
 )
+# Each row meets one other of its table at most.
 plan(
     "joi_self",
-    lambda t: t.supplier.alias("a").join(t.supplier.alias("b"), (c("a.s_nationkey") == c("b.s_nationkey")) & (c("a.s_suppkey") < c("b.s_suppkey"))).select(c("a.s_suppkey").alias("one"), c("b.s_suppkey").alias("other")),
-    "SELECT a.s_suppkey AS one, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
+    lambda t: t.conversations.alias("a").join(t.conversations.alias("b"), (c("a.conv_id") == c("b.conv_id")) & (c("a.turn") == c("b.turn") + 1)).select(c("a.conv_id").alias("conv_id"), c("a.turn").alias("turn"), c("a.role").alias("role"), c("b.role").alias("role_before")),
+    "SELECT a.conv_id, a.turn, a.role, b.role AS role_before FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1",
 )
 # The shape itself is a Cartesian product; region has five rows.
 plan("joi_cross", lambda t: t.region.crossJoin(t.nation.select("n_name")).select("r_name", "n_name"), "SELECT r_name, n_name FROM region CROSS JOIN nation")

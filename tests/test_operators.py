@@ -9,7 +9,7 @@ from quillstone.functions import text as X
 from quillstone.functions.semantics import boundary_diff
 from quillstone.operators import catalog, compare, percentiles
 from quillstone.operators import retrieval as R
-from quillstone.sources import files
+from quillstone.sources import configs, files
 from quillstone.sources.tables import Tables
 
 
@@ -175,6 +175,18 @@ def test_files(spark, tmp_path):
     assert rows[0]["a"] == "1" and rows[0]["b"] == '{"c":2}'
 
 
+def test_configs(spark, tmp_path):
+    (tmp_path / "suites").mkdir()
+    (tmp_path / "suites/a.json").write_text('{"name": "A", "version": "1", // a note\n "Scenarios": [{"Code": "c1", "Question": "how many", "ExpectedScalar": 3, "ExpectedAggregations": [{"function": "count", "column": "*"}]}, {"Code": "c2", "ExpectedSql": "SELECT 1", "Unknown": 1}]}')
+    (tmp_path / "suites/b.json").write_text('{"name": "B", "Scenarios": []}')
+    rows = {r.Code: r for r in configs.suites(spark, str(tmp_path / "suites")).collect()}
+    assert set(rows) == {"c1", "c2"} and rows["c1"].ExpectedScalar == 3 and rows["c1"].ExpectedAggregations[0].function == "count" and rows["c2"].place == 1 and rows["c2"].Question is None
+    (tmp_path / "cues.json").write_text('{"default": "F", "patterns": [{"shape": "X", "keywords": ["a", "b"], "regex": ["c+"]}, {"shape": "Y", "keywords": ["d"]}]}')
+    assert sorted(map(tuple, configs.cues(spark, str(tmp_path / "cues.json")).collect())) == [(0, "X", "a", False), (0, "X", "b", False), (0, "X", "c+", True), (1, "Y", "d", False)]
+    (tmp_path / "tools.json").write_text('{"tools": [{"toolKey": "k2", "keywordHints": "x, y", "sortOrder": 2}, {"toolKey": "k1", "sortOrder": 1, "isEnabled": true}, {"toolKey": "off", "isEnabled": false}]}')
+    assert [(r.toolKey, r.keywordHints) for r in configs.tools(spark, str(tmp_path / "tools.json")).collect()] == [("k1", None), ("k2", ["x", "y"])]
+
+
 def test_stream(spark, tmp_path):
     from quillstone.streaming.events import append_to, event_stream, windowed
 

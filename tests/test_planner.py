@@ -38,6 +38,34 @@ def test_rewrites():
     assert fixed.columns == ("name_ar",) and fixed.lossy and fixed.confidence == 0.5
 
 
+def test_unresolved_columns(spark, t, tmp_path):
+    """Repaired from the analyser's error: a locale's twin, else stripped, else given up."""
+    g = W.Grounding(locale="ar")
+    spark.createDataFrame([(1, "a", "b")], "r_regionkey int, name_en string, name_ar string").write.parquet(str(tmp_path / "region.parquet"))
+    own = Tables(spark, str(tmp_path))
+    q, rows = W.resolved(QueryIR("region", columns=("name", "gone"), filters=(Predicate("name", "=", ("b",)),)), own, g)
+    assert q.columns == ("name_ar",) and q.lossy and q.confidence == 0.5 and rows.collect()[0].name_ar == "b"
+    q, rows = W.resolved(QueryIR("region", columns=("name_en",)), own, g)
+    assert not q.lossy and rows.count() == 1
+    lost = QueryIR("region", columns=("name_en",), filters=(Predicate("colour", "=", ("red",)),))
+    assert "colour" in W.resolved(lost, own, g)
+    q, _ = W.resolved(lost, own, W.Grounding(values={"name_en": ("a",)}))
+    assert q.lossy and q.filters == ()
+
+
+def test_asks_back(t):
+    unclear = ask("show me the total", t, {})
+    assert unclear.query is None and "orders" in unclear.clarify and "customer" in unclear.clarify
+    assert "priority" in ask("orders by colour", t, {}).clarify and ask("delete all orders", t, {}).clarify == ""
+
+
+def test_two_levels_of_access(spark, t):
+    policy = Policy(hidden=frozenset({"supp*"}), unqueried=frozenset({"events"}))
+    assert not policy.allows("supplier") and policy.allows("events") and not policy.queryable("events") and policy.queryable("orders")
+    assert not validate(spark, "SELECT * FROM events", set(PRIMARY_KEYS), policy).ok
+    assert validate(spark, "SELECT o_orderkey FROM orders", set(PRIMARY_KEYS), policy).ok
+
+
 def test_dialect(spark, t):
     sql = D.spark_sql("SELECT TOP 3 [o_orderkey], ISNULL(o_orderstatus, 'LEN(x)') AS s FROM [orders] ORDER BY o_orderkey;")
     assert sql == "SELECT `o_orderkey`, coalesce(o_orderstatus, 'LEN(x)') AS s FROM `orders` ORDER BY o_orderkey LIMIT 3"
