@@ -130,13 +130,23 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             out[at:to] = span_hash(h, starts[at:to] - first, ends[at:to] - first)
         else:
             to, total = at + 1, 0
-            for x in range(first, ends[at], CHUNK):
-                total += int(prefix_hash(data[x : min(x + CHUNK, ends[at])])[-1]) * pow(BASE, x - first, 2**64)
+            for x in range(int(first), int(ends[at]), CHUNK):
+                total += int(prefix_hash(data[x : min(x + CHUNK, ends[at])])[-1]) * pow(BASE, x - int(first), 2**64)
             out[at] = mix(np.array([total % 2**64], U64))[0]
         at = to
     return out
 
 
+class Spans:
+    """Hashes of spans of one text's bytes, each call's in order and none over the next; of a long text CHUNK bytes at a time."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.h = data, prefix_hash(data) if len(data) <= CHUNK else None
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return word_hashes(self.data, starts, ends) if self.h is None else span_hash(self.h, starts, ends)
+
+
 def lower_table() -> np.ndarray:
     """Byte to byte, A-Z to a-z only."""
     t = np.arange(256, dtype=np.uint8)

@@ -164,14 +164,14 @@ def clause_weight(events: list[tuple[int, str, float]], memo: dict) -> float:
 
 
 def _lowered(texts: pa.Array):
-    """For row ranges: (first row, last row, bytes, words' starts and ends, first word of each row, prefix hash, clause of each
-    word). A text is cut where the bytes are hashed only in row ranges, so a long one is held whole."""
+    """For row ranges: (first row, last row, bytes, words' starts and ends, first word of each row, hashes of spans, clause of
+    each word)."""
     data, offsets = C.text_buffers(pc.utf8_lower(pc.replace_substring(texts, "’", "'")))
     for a, b in C.slices(offsets):
         part, off = C.sub(offsets, data, a, b)
         starts, ends, first = C.words(part, off, C.ALNUM)
         row = np.searchsorted(first, np.arange(len(starts)), "right") - 1
-        yield a, b, part, starts, ends, first, C.prefix_hash(part), np.cumsum(_CLAUSE[part])[starts] + row if len(starts) else row
+        yield a, b, part, starts, ends, first, C.Spans(part), np.cumsum(_CLAUSE[part])[starts] + row if len(starts) else row
 
 
 def _denying(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -191,12 +191,12 @@ def _beginning(h: np.ndarray, n: int) -> np.ndarray:
     return C.mix(h + np.uint64(n))
 
 
-def _features(starts, ends, h):
+def _features(starts, ends, spans):
     """(hash, index of the word) of whole words and of their beginnings."""
-    yield C.span_hash(h, starts, ends), np.arange(len(starts))
+    yield spans(starts, ends), np.arange(len(starts))
     for n in BEGINNINGS:
         long = np.flatnonzero(ends - starts > n)
-        yield _beginning(C.span_hash(h, starts[long], starts[long] + n), n), long
+        yield _beginning(spans(starts[long], starts[long] + n), n), long
 
 
 FIXED = ((INSULTS, "i"), (THREATS, "t"), (TARGETS, "g"), (NEGATIONS, "n"), (REPORTS, "r"), (VERBS, "v"), (PARTICLES, "u"))
@@ -220,10 +220,10 @@ class Lexicon:
 
     def scored(self, texts: pa.Array):
         """(score, matched clauses, strongest weight, sum of the other weights) for each text."""
-        for a, b, part, starts, ends, first, h, clauses in _lowered(texts):
+        for a, b, part, starts, ends, first, spans, clauses in _lowered(texts):
             denying = _denying(part, starts, ends)
             where, which = [denying], [np.full(len(denying), self.denies)]
-            for keys, word in _features(starts, ends, h):
+            for keys, word in _features(starts, ends, spans):
                 at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
                 hit = self.keys[at] == keys
                 where.append(word[hit])
@@ -252,8 +252,8 @@ def _group_keys(batches):
     """doc_id and the smallest hash of five words."""
     for batch in batches:
         keys = []
-        for a, b, _, starts, ends, first, h, _ in _lowered(C.column(batch, "text")):
-            w = C.span_hash(h, starts, ends)
+        for a, b, _, starts, ends, first, spans, _ in _lowered(C.column(batch, "text")):
+            w = spans(starts, ends)
             five = C.mix(w[:-4] + w[1:-3] * np.uint64(3) + w[2:-2] * np.uint64(5) + w[3:-1] * np.uint64(7) + w[4:] * np.uint64(11)) if len(w) > 4 else w[:0]
             for i in range(b - a):
                 own = five[first[i] : max(first[i], first[i + 1] - 4)]
@@ -270,13 +270,13 @@ def _counts(batches):
     targets, threats = (np.sort(np.array([_hash(w.encode()) for w in words])) for words in (TARGETS, THREATS))
     for batch in batches:
         toxic = C.column(batch, "toxic").to_numpy(zero_copy_only=False).astype(bool)
-        for a, _, _, starts, ends, first, h, clause in _lowered(C.column(batch, "text")):
+        for a, _, _, starts, ends, first, spans, clause in _lowered(C.column(batch, "text")):
             if not len(starts):
                 continue
-            whole = C.span_hash(h, starts, ends)
+            whole = spans(starts, ends)
             to, by = (np.isin(clause, clause[np.isin(whole, known)]) for known in (targets, threats))
             row = np.searchsorted(first, np.arange(len(starts)), "right") - 1 + a
-            keys, word = map(np.concatenate, zip(*_features(starts, ends, h), strict=True))
+            keys, word = map(np.concatenate, zip(*_features(starts, ends, spans), strict=True))
             # A document's flags of a feature: one row for each, whose places are joined by "or".
             order = np.lexsort((row[word], keys))
             keys, word = keys[order], word[order]

@@ -79,6 +79,25 @@ def test_decontaminate_brute_force(spark):
         assert (sorted(hit), sorted(found)) == (list(r.hits), list(r["items"]))
 
 
+def test_texts_of_30_mb():
+    """The functions on whole texts take one of 30 MB, and one long word, as they take short ones."""
+    base = "".join(f"w{i * 7919 % 100_003} " for i in range(100_000))
+    long = (base * 46)[:30_000_000] + " one two three four five six seven eight nine ten idiot."
+    texts = pa.array([long, "x" * 3_000_000, base])
+    known, lengths = decontaminate.tables((["7"], [b"one two three four five six seven eight nine ten"]), 10)
+    n, hits, items = next(decontaminate.searched(texts, known, lengths))
+    assert n == len(long.split()) + long.count("idiot.") - 1 and hits.tolist() == list(range(n - 11, n - 1)) and items == ["7"]
+    sizes = [np.diff(bounds).tolist() for _, _, _, _, bounds in jaccard_join.shingles(texts, 3)]
+    assert sizes[1] == [1] and 100_000 < sizes[0][0] < 100_100 and sizes[2][0] == 99_998
+    word = next(jaccard_join.shingles(pa.array(["x" * 2_999_999 + "y"]), 3))[2]
+    assert word[0] != list(jaccard_join.shingles(texts, 3))[1][2][0]
+    assert [n for _, n, _, _ in toxicity.Lexicon([]).scored(texts)] == [1, 0, 0]
+    raw = long.encode()
+    assert media.decode(media.encode(raw)) == raw and len(media.fingerprint(raw[:3_000_000]))
+    judge = langid.Judge({"en": b"one two three four five " * 40, "w": base[:30_000].encode()})
+    assert judge(long)[0] in ("en", "w")
+
+
 # 2
 def test_language_held_out(spark):
     rows = queries.QUERIES["op2_language"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
