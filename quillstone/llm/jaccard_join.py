@@ -9,14 +9,15 @@ Two documents link if 100 * shared shingles >= `percent` * all their shingles; t
    A set with at most `spare` empty parts drops, of its shared parts, as many as it has fewer empty ones than that, those
    that most sets have; the rarest part that two linked sets share is never dropped, and a set with too few shared parts
    has no link at all. Other sets have keys for their empty parts too, which only such sets share, and drop none: a linked
-   set without such keys may share but one part with them. Sets with a key in common are candidates.
-3. The sets of a connected component of candidates are the leaves of a signature tree, whose nodes hold OR-combined bitmaps
+   set without such keys may share but one part with them. Sets with a key in common are candidates, within one class of
+   sizes; a set near the end of its class is in the next one too, as a node of its own.
+3. The sets of a connected component of candidate nodes are the leaves of a signature tree, whose nodes hold OR-combined bitmaps
    of shingles, ranges of sizes and the most shingles hidden by shared bits. A dual traversal drops pairs of nodes whose
    largest possible overlap is too small, and pairs that are connected already; pairs of leaves left are compared exactly.
 4. A component of more than a block (BLOCK sets or SHINGLES shingles) is joined in two rounds. First every set meets, in
    blocks, the first set of its rarest key; near copies settle there. Then only keys whose sets are not yet connected
-   count: the sets outside the largest group of such a component, in blocks, meet all of it, in blocks. So a group of
-   near copies costs about its size, and what remains costs (sets not settled) x (sets) / block rows.
+   count: the sets outside the largest group of such a component, in blocks, meet each other and all of it, in blocks. So
+   a group of near copies costs about its size, and what remains costs (sets not settled) x (sets) / block rows.
 
 Texts are shingled anew in each step rather than kept, since a set takes more room than its text.
 
@@ -37,7 +38,7 @@ from . import common as C
 
 WORDS, PERCENT = 3, 90
 #: Sets and shingles of a block; shingles gathered before a tree is built; children of a node.
-BLOCK, SHINGLES, GATHER, FANOUT = 1024, 2_000_000, 2_000_000, 8
+BLOCK, SHINGLES, GATHER, FANOUT = 4096, 3_000_000, 2_000_000, 8
 
 _A, _B, _C = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -103,8 +104,8 @@ class Classes:
 
 
 def part_keys(h: np.ndarray, bounds: np.ndarray, percent: int):
-    """Of all parts that are not empty: (index of the set's label, key); of all labels, by set: (set, need): a link shares at
-    least `need` of these keys. A label whose set has more empty parts than the spare ones has a key for them too; it may be
+    """Of all parts that are not empty: (index of the set's label, key); of all labels, by set: (set, need, label): a link shares
+    at least `need` of these keys. A label whose set has more empty parts than the spare ones has a key for them too; it may be
     linked to a set that has none for its up to `spare` empty ones, so only one shared key is certain."""
     n = np.diff(bounds)
     classes = Classes(percent, int(n.max(initial=0)) * 2)
@@ -127,7 +128,7 @@ def part_keys(h: np.ndarray, bounds: np.ndarray, percent: int):
     number = np.arange(len(total)) - base[owner]
     where = labels[owner].astype(np.uint64) * _C + number.astype(np.uint64)
     key = C.mix(total + C.mix(where))
-    return owner[used], key[used], sets, 1 + spare - np.minimum(empty, spare)
+    return owner[used], key[used], sets, 1 + spare - np.minimum(empty, spare), labels
 
 
 def _described(words: int):
@@ -146,9 +147,9 @@ def _parts(percent: int, words: int):
         for batch in batches:
             sids = C.column(batch, "sid")
             for x, y, h, _, bounds in shingles(C.column(batch, "text"), words):
-                label, keys, sets, need = part_keys(h, bounds, percent)
-                per_label = pa.ListArray.from_arrays(pa.array(np.searchsorted(label, np.arange(len(sets) + 1)).astype(np.int32)), pa.array(keys.view(np.int64)))
-                groups = pa.StructArray.from_arrays([pa.array(need.astype(np.int32)), per_label], names=["need", "keys"])
+                owner, keys, sets, need, label = part_keys(h, bounds, percent)
+                per_label = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(sets) + 1)).astype(np.int32)), pa.array(keys.view(np.int64)))
+                groups = pa.StructArray.from_arrays([pa.array(label.astype(np.int32)), pa.array(need.astype(np.int32)), per_label], names=["label", "need", "keys"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(sets, np.arange(y - x + 1)).astype(np.int32)), groups)
                 yield pa.RecordBatch.from_arrays([sids.slice(x, y - x), lists], names=["sid", "labels"])
 
@@ -295,8 +296,8 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b). The star of each connected component: (a, b), b its smallest node, a every other node.
 
     Alternating large and small stars; each round is written out, and no group is ever gathered in one place: the smallest
-    neighbours are written too, so that both sides of a join are plain scans, which Spark broadcasts or splits where a
-    centre has a large share of the rows.
+    neighbours are broadcast if the edges, which were counted, are few; else they are written too, so that both sides of a
+    join are plain scans, which Spark splits where a centre has a large share of the rows.
     """
     tie = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, known = C.persisted(tie(edges), "components"), None
@@ -305,11 +306,12 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == known or not mark[0]:
             return now
         known = mark
+        smallest = F.broadcast if mark[0] <= C.BROADCAST_KEYS else lambda df: C.persisted(df, "components-least")
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = C.persisted(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "components-least")
+        least = smallest(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
         large = tie(both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(now.join(least, F.col("a") == F.col("u")).select("a", F.col("m").alias("b"))))
         large = C.persisted(large, "components")
-        least = C.persisted(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "components-least")
+        least = smallest(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"))
         small = large.join(least, F.col("a") == F.col("u"))
         now = C.persisted(tie(small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b")))), "components")
 
@@ -363,45 +365,51 @@ def _described_rows(docs: DataFrame, texts: DataFrame, words: int, percent: int,
     # One text speaks for a set; its id, unlike the set's hash, takes few bytes in a shuffle. Keys are computed twice rather
     # than kept: first only counted, then joined with those that occur again.
     speakers = texts.join(C.small(own.select("sid")), "sid", "left_semi")
-    labels = speakers.mapInArrow(_parts(percent, words), "sid long, labels array<struct<need:int,keys:array<long>>>")
-    parts = labels.select("sid", F.posexplode("labels").alias("label", "x")).select("sid", "label", "x.need", F.explode("x.keys").alias("key"))
+    labels = speakers.mapInArrow(_parts(percent, words), "sid long, labels array<struct<label:int,need:int,keys:array<long>>>")
+    parts = labels.select("sid", F.explode("labels").alias("x")).select("sid", "x.label", "x.need", F.explode("x.keys").alias("key"))
     shared = parts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     by_rarity = Window.partitionBy("sid", "label").orderBy(F.desc("c"), "key")  # a set's parts at most
     rare = parts.join(shared, "key").withColumn("r", F.row_number().over(by_rarity)).filter("r >= need")
-    rare = C.persisted(rare.select("key", "sid").distinct(), "jaccard-rare")
+    rare = C.persisted(rare.select("key", "sid", "label").distinct(), "jaccard-rare")
     keys = C.persisted(rare.groupBy("key").agg(F.min("sid").alias("m"), F.count("*").alias("g")).filter("g > 1"), "jaccard-keys")
     starred = rare.join(keys, "key")
-    members = C.persisted(_starred(components(starred.filter("sid <> m").select(F.col("sid").alias("a"), F.col("m").alias("b")))).join(own.select("sid", "n"), "sid"), "jaccard-members")
+    node = lambda c: F.xxhash64(c, "label")  # noqa: E731  a set in a class of sizes
+    star = components(starred.filter("sid <> m").select(node("sid").alias("a"), node("m").alias("b")))
+    placed = rare.select("sid", "label").distinct().withColumn("node", node("sid")).join(_starred(star).withColumnRenamed("sid", "node"), "node")
+    members = C.persisted(placed.join(own.select("sid", "n"), "sid").select("sid", "label", "comp", "n"), "jaccard-members")
     blocks = C.persisted(_blocks(members, "comp", block), "jaccard-blocks")
     placed = members.join(blocks, "comp")
     zero = F.lit(0)
     whole = placed.filter("blocks = 1").select("sid", "comp", zero.alias("i"), zero.alias("j"), F.col("sid").alias("root"))
-    large = C.persisted(placed.filter("blocks > 1").select("sid", "comp", "n"), "jaccard-large")
+    large = C.persisted(placed.filter("blocks > 1").select("sid", "label", "n"), "jaccard-large")
     if large.isEmpty():
-        links = _linked(whole, texts, words, percent)
+        links = components(_linked(whole, texts, words, percent))
     else:
         # The first round: with the first set of the rarest key; sets that are first in all their keys are centres only.
-        nearest = starred.filter("sid <> m").groupBy("sid").agg(F.min(F.struct("g", "key", "m")).alias("x")).select("sid", F.col("x.m").alias("m"))
-        nearest = C.persisted(large.join(nearest, "sid").select("sid", "n", "m"), "jaccard-nearest")
-        dealt = nearest.join(_blocks(nearest, "m", block), "m")
-        each = dealt.select("sid", F.col("m").alias("comp"), _part("round 1").alias("i"), F.lit(1).alias("j"))
-        centres = _blocks(nearest, "m", block).select(F.col("m").alias("sid"), F.col("m").alias("comp"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(1).alias("j"))
+        nearest = starred.filter("sid <> m").groupBy("sid", "label").agg(F.min(F.struct("g", "key", "m")).alias("x")).select("sid", "label", F.col("x.m").alias("m"))
+        nearest = C.persisted(large.join(nearest, ["sid", "label"]).select("sid", "n", "m", node("m").alias("comp")), "jaccard-nearest")
+        sizes = C.persisted(_blocks(nearest, "comp", block), "jaccard-blocks")
+        each = nearest.join(sizes, "comp").select("sid", "comp", _part("round 1").alias("i"), F.lit(1).alias("j"))
+        centres = nearest.select("m", "comp").distinct().join(sizes, "comp").select(F.col("m").alias("sid"), "comp", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(1).alias("j"))
         links = _linked(whole.unionAll(each.unionAll(centres).withColumn("root", F.col("sid"))), texts, words, percent)
         # The second: keys whose sets are not all connected.
-        roots = large.join(C.persisted(components(links).select(F.col("a").alias("sid"), F.col("b").alias("root")), "jaccard-roots"), "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("root"))
-        roots = C.persisted(roots, "jaccard-rooted")
-        rooted = rare.join(roots, "sid")
+        linked_now = C.persisted(components(links).select(F.col("a").alias("sid"), F.col("b").alias("root")), "jaccard-roots")
+        roots = C.persisted(large.join(linked_now, "sid", "left").select("sid", "label", "n", F.coalesce("root", "sid").alias("root")), "jaccard-rooted")
+        rooted = rare.join(roots, ["sid", "label"])
         mixed = C.persisted(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("sid").alias("m")).filter("x <> y").select("key", "m"), "jaccard-mixed")
         if not mixed.isEmpty():
-            again = components(rooted.join(mixed, "key").filter("sid <> m").select(F.col("sid").alias("a"), F.col("m").alias("b")))
-            rest = C.persisted(_starred(again).join(roots, "sid"), "jaccard-rest")
+            again = components(rooted.join(mixed, "key").filter("sid <> m").select(node("sid").alias("a"), node("m").alias("b")))
+            rest = C.persisted(roots.withColumn("node", node("sid")).join(_starred(again).withColumnRenamed("sid", "node"), "node").drop("node"), "jaccard-rest")
             main = rest.groupBy("comp", "root").agg(F.count("*").alias("c")).groupBy("comp").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
             rest = C.persisted(rest.join(main, "comp").withColumn("other", F.col("root") != F.col("main")), "jaccard-rest")
-            rest = rest.join(_blocks(rest, "comp", block), "comp").join(_blocks(rest.filter("other"), "comp", block).withColumnRenamed("blocks", "others"), "comp")
-            rows = rest.select("sid", "comp", "root", "other", "others", "blocks", _part("all").alias("mine"), _part("others", "others").alias("apart"))
-            every = rows.select("sid", "comp", F.col("mine").alias("i"), F.explode(F.expr("sequence(0, others - 1)")).alias("j"), "root")
-            others = rows.filter("other").select("sid", "comp", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.col("apart").alias("j"), "root")
-            links = links.unionAll(_linked(every.unionAll(others).distinct(), texts, words, percent))
+            settled = _blocks(rest.filter("not other"), "comp", block).withColumnRenamed("blocks", "settled")
+            others = _blocks(rest.filter("other"), "comp", block).withColumnRenamed("blocks", "others")
+            rest = rest.join(settled, "comp").join(others, "comp").withColumn("mine", F.when(F.col("other"), _part("others", "others")).otherwise(_part("settled", "settled")))
+            meet = lambda n, i, j: rest.filter("other").select("sid", "comp", "root", "mine", F.explode(F.expr(f"sequence(0, {n} - 1)")).alias("k")).select("sid", "comp", i.alias("i"), j.alias("j"), "root")
+            k, mine = F.col("k"), F.col("mine")
+            dealt = meet("others", F.least(mine, k), F.greatest(mine, k)).unionAll(meet("settled", mine, -1 - k))
+            dealt = dealt.unionAll(rest.filter("not other").select("sid", "comp", F.explode(F.expr("sequence(0, others - 1)")).alias("i"), (-1 - mine).alias("j"), "root"))
+            links = links.unionAll(_linked(dealt, texts, words, percent))
         links = components(links)
     nodes = own.join(links.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").select("node", F.coalesce("root", "sid").alias("root"))
     return described.join(nodes, "node", "left")

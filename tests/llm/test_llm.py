@@ -406,6 +406,8 @@ def test_media(spark):
     d = media.digest(media.media(odd(spark))).collect()
     assert d[2].payload_bytes == 64 and d[2].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest()
     assert media.digest(media.media(odd(spark, []))).count() == 0
+    clash = media.media(odd(spark)).withColumn("payload_sha256", F.lit("x")).withColumn("feature", F.lit(1)).withColumn("n_pairs", F.lit("y"))
+    assert media.digest(clash).collect() == d
 
 
 def test_peaks_find_a_tone():
@@ -578,7 +580,7 @@ def test_jaccard_two_sets_of_all_sizes(percent):
                 if n == m == shared:
                     continue
                 links += 1
-                owner, keys, of, need = jaccard_join.part_keys(np.concatenate(pair), np.array([0, n, n + m]), percent)
+                owner, keys, of, need, *_ = jaccard_join.part_keys(np.concatenate(pair), np.array([0, n, n + m]), percent)
                 common = set(keys[of[owner] == 0].tolist()) & set(keys[of[owner] == 1].tolist())
                 kept = [set(), set()]
                 for label, s in enumerate(of):
@@ -587,6 +589,22 @@ def test_jaccard_two_sets_of_all_sizes(percent):
     assert links > 500
 
 
+@pytest.mark.parametrize("how", [{}, {"words": 5, "percent": 80}, {"block": 1}])
+def test_jaccard_pairs_of_all_sizes(spark, how):
+    """Families of their own words, of all sizes, whose members may be in different classes of sizes: with one word more at the
+    end, the most words more that still link, and one more than that."""
+    rng, rows = random.Random(17), []
+    words, percent = how.get("words", 3), how.get("percent", 90)
+    for n in [*range(1, 90), 130, 131, 200, 300]:
+        base = [f"f{n}x{rng.randrange(10**6)}" for _ in range(n + words - 1)]
+        most = n * (100 - percent) // percent
+        for more in {0, 1, most, most + 1}:
+            rows.append((len(rows), " ".join(base + [f"e{n}y{more}z{k}" for k in range(more)])))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    assert got == jaccard_join.brute_force(rows, words, percent)
+
+
 @pytest.mark.parametrize("block", [jaccard_join.BLOCK, 100])
 def test_jaccard_large_clusters(spark, block):
     """A thousand near copies, beside families that share parts with them but do not all link."""
@@ -620,7 +638,7 @@ def test_jaccard_small_sets_keep_a_common_part(percent, hot):
                 own = base[rng.integers(2) :] + rng.integers(0, 2**63, rng.integers(2)).tolist()
                 family[tuple(sorted(own))] = f
         sets, family = [np.array(x, np.uint64) for x in family], list(family.values())
-        owner, keys, of, need = jaccard_join.part_keys(np.concatenate(sets), np.cumsum([0, *(len(x) for x in sets)]), percent)
+        owner, keys, of, need, *_ = jaccard_join.part_keys(np.concatenate(sets), np.cumsum([0, *(len(x) for x in sets)]), percent)
         _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
         kept = [set() for _ in sets]
         for label, s in enumerate(of):
@@ -635,7 +653,9 @@ def test_jaccard_small_sets_keep_a_common_part(percent, hot):
     assert links > 500
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [jaccard_join.C.BROADCAST_KEYS, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard_join.C, "BROADCAST_KEYS", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (95, 100), (7, 7)], "a long, b long")
     got = {r.a: r.b for r in jaccard_join.components(edges).collect()}
     assert got == {i: 1 for i in range(2, 41)} | {95: 90, 100: 90}
