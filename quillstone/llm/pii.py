@@ -128,7 +128,7 @@ def _number(digest: Column, at: Column) -> Column:
 
 
 def _pick(letters: str, n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, letters)), n % len(letters) + 1)
+    return F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))
 
 
 def _redrawn(x: Column, digest: Column) -> Column:
@@ -183,24 +183,28 @@ def _card(normal: Column, digest: Column) -> Column:
 def surrogate_of(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
     """A part's surrogate in normal form. A local part's is followed by the real domain, within which it is distinct."""
     wide = attempt >= WIDE
-    digest = _digest(key, kind, normal, attempt.cast("string"))
     local, domain = F.substring_index(normal, "@", 1), F.substring_index(normal, "@", -1)
-    more = F.when(wide, F.substring(F.regexp_replace(F.reverse(digest), "[a-f]", ""), 1, 18)).otherwise("")
-    ip = F.array_join(F.transform(F.sequence(F.lit(0), F.when(wide, 11).otherwise(3)), lambda i: (_number(digest, i) % 223 + 1).cast("string")), ".")
-    prefix = lambda n: F.concat(F.substring(normal, 1, n), _redrawn(normal.substr(F.lit(n + 1), F.length(normal)), digest), more)
-    hexadecimal = F.substr(F.repeat(digest, F.floor(F.length(normal) / 128).cast("int") + 1), F.lit(1), F.length(normal))
-    return (
-        F.when(kind == "local", F.concat(_redrawn(local, digest), more, F.lit("@"), domain))
-        .when(kind == "domain", F.concat(_redrawn(F.rpad(F.substring_index(domain, ".", 1), 6, "x"), digest), more, F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), _number(digest, F.lit(63)) % 3 + 1)))
-        .when(kind == "ip", ip)
-        .when(kind == "card", F.concat(_card(normal, digest), more))
-        .when(kind == "phone", F.when(F.length(normal) > 8, prefix(1)).otherwise(F.concat(_redrawn(normal, digest), more)))
-        .when(kind == "iban", prefix(2))
-        .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), F.concat(hexadecimal, more))
-        .when((kind == "secret") & normal.rlike("^[0-9A-F]+$"), F.concat(F.upper(hexadecimal), more))
-        .when(kind.isin("surname", "given_f", "given_m"), _name(kind, normal, digest, wide))
-        .otherwise(F.concat(_redrawn(normal, digest), more))
-    )
+
+    def made(digest: Column) -> Column:
+        more = F.when(wide, F.substring(F.regexp_replace(F.reverse(digest), "[a-f]", ""), 1, 18)).otherwise("")
+        ip = F.array_join(F.transform(F.sequence(F.lit(0), F.when(wide, 11).otherwise(3)), lambda i: (_number(digest, i) % 223 + 1).cast("string")), ".")
+        prefix = lambda n: F.concat(F.substring(normal, 1, n), _redrawn(normal.substr(F.lit(n + 1), F.length(normal)), digest), more)
+        hexadecimal = F.substr(F.repeat(digest, F.floor(F.length(normal) / 128).cast("int") + 1), F.lit(1), F.length(normal))
+        return (
+            F.when(kind == "local", F.concat(_redrawn(local, digest), more, F.lit("@"), domain))
+            .when(kind == "domain", F.concat(_redrawn(F.rpad(F.substring_index(domain, ".", 1), 6, "x"), digest), more, F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), _number(digest, F.lit(63)) % 3 + 1)))
+            .when(kind == "ip", ip)
+            .when(kind == "card", F.concat(_card(normal, digest), more))
+            .when(kind == "phone", F.when(F.length(normal) > 8, prefix(1)).otherwise(F.concat(_redrawn(normal, digest), more)))
+            .when(kind == "iban", prefix(2))
+            .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), F.concat(hexadecimal, more))
+            .when((kind == "secret") & normal.rlike("^[0-9A-F]+$"), F.concat(F.upper(hexadecimal), more))
+            .when(kind.isin("surname", "given_f", "given_m"), _name(kind, normal, digest, wide))
+            .otherwise(F.concat(_redrawn(normal, digest), more))
+        )
+
+    # Bound to a variable, so that it is computed once for all letters.
+    return F.element_at(F.transform(F.array(_digest(key, kind, normal, attempt.cast("string"))), made), 1)
 
 
 def _dressed(kind: Column, surface: Column, made: Column) -> Column:
