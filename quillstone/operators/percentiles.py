@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 #: Rows of a range whose values one task may sort; groups whose ranges are broadcast.
 LIMIT, BROADCAST_GROUPS = 1 << 20, 10_000
+#: Equal values whose keys are simply sorted.
+FEW = 10_000
 
 
 def _cuts(rows: DataFrame) -> DataFrame:
@@ -75,7 +77,10 @@ def top_percent(df: DataFrame, percent: float, value: str, key: str) -> DataFram
     if edge is None:
         return df.limit(0)
     wanted = -int(-edge["__n"] * percent // 100)
-    beyond = df.filter(F.col(value) > F.lit(edge.edge)).count()
+    beyond, n_ties = df.agg(F.count_if(F.col(value) > F.lit(edge.edge)), F.count_if(F.col(value) == F.lit(edge.edge))).first()
     ties = df.filter(F.col(value) == F.lit(edge.edge))
-    last = values_at(ties, [], key, {"last": F.lit(wanted - beyond - 1)}).first()["last"]
+    if n_ties <= FEW:
+        last = ties.select(key).orderBy(key).offset(wanted - beyond - 1).first()[0]
+    else:
+        last = values_at(ties, [], key, {"last": F.lit(wanted - beyond - 1)}).first()["last"]
     return df.filter((F.col(value) > F.lit(edge.edge)) | ((F.col(value) == F.lit(edge.edge)) & (F.col(key) <= F.lit(last))))

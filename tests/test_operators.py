@@ -44,7 +44,9 @@ def test_percentiles_cut_again(spark, limit):
     assert got["a"]["__n"] == 3900 and got["b"] == {"g": "b", "r0": 5.0, "r17": 5.0, "r299": 5.0, "__n": 300}
 
 
-def test_top_percent(spark):
+@pytest.mark.parametrize("few", [percentiles.FEW, 3])
+def test_top_percent(spark, monkeypatch, few):
+    monkeypatch.setattr(percentiles, "FEW", few)
     rows = [(i, float(i % 10)) for i in range(200)]
     df = spark.createDataFrame(rows, "k long, v double")
     for percent in (1, 5, 12.5, 100):
